@@ -92,6 +92,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     unique, maybe = _probed(rows, rows.select("cell"), max_words)
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid"))
     groups = maybe.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # a table of its own, so that both sides of the join are plain exchanges and a huge group can be split
+    groups = keep(groups, "dedup-groups")
     grouped = maybe.join(groups, "digest").select(
         "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "digest"
     )
