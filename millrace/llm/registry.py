@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing, secrets
+from millrace.llm import bpe, exact_dedup, mixing, mpeg, secrets, simhash
 from millrace.llm.common import ship
 
 _QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_bpe": bpe.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_simhash": simhash.query,
+    "op6_mpeg_audio": mpeg.query,
     "op9_secret_scan": secrets.query,
 }
 
