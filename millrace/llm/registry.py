@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, exact_dedup, mixing, mpeg, secrets, simhash
+from millrace.llm import bpe, exact_dedup, kneser_ney, mixing, mpeg, neighbours, ppm, secrets, simhash
 from millrace.llm.common import ship
 
 _QUERIES = {
     "op1_mixing": mixing.query,
     "op2_bpe": bpe.query,
+    "op3_quality_knn": neighbours.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_simhash": simhash.query,
     "op6_mpeg_audio": mpeg.query,
+    "op8_toxicity_kn": kneser_ney.query,
     "op9_secret_scan": secrets.query,
+    "op10_ppm_score": ppm.query,
 }
 
 _ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
