@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, exact_dedup, kneser_ney, mixing, mpeg, neighbours, ppm, secrets, simhash
+from millrace.llm import bpe, exact_dedup, kneser_ney, mixing, mpeg, neighbours, ppm, secrets, simhash, site_tree
 from millrace.llm.common import ship
 
 _QUERIES = {
@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_exact_dedup": exact_dedup.query,
     "op5_simhash": simhash.query,
     "op6_mpeg_audio": mpeg.query,
+    "op7_site_tree": site_tree.query,
     "op8_toxicity_kn": kneser_ney.query,
     "op9_secret_scan": secrets.query,
     "op10_ppm_score": ppm.query,
