@@ -8,30 +8,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, mixing
+from millrace.llm import bpe, exact_dedup, mixing, neighbours, simhash
 from millrace.llm.common import keep, ship, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the neighbour vote rejects go."""
+    ship(spark)
+    return neighbours.accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id goes on."""
-    return exact_dedup.dedup(docs).select(*COLUMNS)
+    return exact_dedup.dedup(docs.select(*COLUMNS))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints the document with the smallest id goes on."""
+    ship(spark)
+    return simhash.dedup(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeat or go, so that each source comes near its target of words."""
-    return mixing.mix(docs).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS))
+
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per row of the mix: doc_id, n_tokens, and digests of its ids and of their decoded text."""
+    ship(spark)
+    return bpe.encode(docs.select(*COLUMNS), digests=True)
 
-STAGES = [("exact dedup", exact), ("mixing", mix)]
+
+STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("bpe", encode)]
 
 #: SQL cannot express the classifier, the fingerprint graph or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
