@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import tpch
+from millrace.plans import relational, scalars, tpch
 
-MODULES = (tpch,)
+MODULES = (tpch, relational, scalars)
 
 
 def queries():
