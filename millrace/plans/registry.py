@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import relational, scalars, tpch
+from millrace.plans import lakehouse, relational, scalars, tpch
 
-MODULES = (tpch, relational, scalars)
+MODULES = (tpch, relational, scalars, lakehouse)
 
 
 def queries():
