@@ -83,7 +83,7 @@ def _rate(lam, x):
 
 def _dual(hist: DataFrame, sources: DataFrame) -> DataFrame:
     """Solve the dual: source, source_size, target, mean, lam."""
-    start = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
+    start = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean")).withColumn("mean", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0))
     full = F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12)
     state = keep(
         sources.join(start, sources["source"].eqNullSafe(start["source"])).select(
