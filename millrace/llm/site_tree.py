@@ -227,7 +227,7 @@ def low_items(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     seen = rows.mapInArrow(_features, "node long, content long, mark long").distinct()
     each = keep(seen.groupBy("node", "content").agg(F.count(F.lit(1)).alias("n")), "style-contents")  # n: different pages with this content
     nodes = each.groupBy("node").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("contents"), F.avg(F.log("n")).alias("entropy"))
-    judged = nodes.where(F.col("pages") >= FEW).withColumn("importance", 1 - F.col("entropy") / F.log("pages"))
+    judged = nodes.where(F.col("pages") >= FEW).withColumn("importance", 1 - F.col("entropy") / F.nullif(F.log("pages"), F.lit(0.0)))
     low = judged.where(F.col("importance") < LOW).select(F.col("node").alias("item"))
     often = each.where(F.col("n") >= FEW).join(judged.select("node", "pages"), "node").where(F.col("n") >= REPEATED * F.col("pages")).select(F.col("content").alias("item"))
     return keep(low.unionByName(often).distinct(), "style-low")
