@@ -19,7 +19,7 @@ cut into segments, which run side by side; the last ORDER symbols before a
 segment fix its first state exactly.
 
 Base score: a smoothed unigram over words and an end token, from counts of all
-training texts.  The ``FREQUENT`` most frequent words are broadcast; all other
+training texts.  At most ``FREQUENT`` of the most frequent words are broadcast; all other
 words of a document are looked up by a join, so a hot word never shuffles and no
 word is left out.
 
@@ -250,6 +250,23 @@ def _trained(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return levels[::-1]
 
 
+def _frequent(words: DataFrame) -> pa.Table:
+    """At most FREQUENT words: all that occur at least as often as a cut-off found from a histogram of counts.
+
+    The histogram has a few hundred cells at any size (sixteen a doubling), so no
+    task sorts or gathers the vocabulary.
+    """
+    short = words.where(F.col("word").isNotNull() & (F.octet_length("word") <= LONGEST))
+    cell = F.floor(F.log2("n") * 16).cast("int")
+    held, cut = 0, 1 << 30
+    for r in sorted(short.groupBy(cell.alias("cell")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        cut = r["cell"]
+    return short.where(cell >= cut).toArrow()
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out_fold: int = 1) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -258,7 +275,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     words = keep(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
     n_tokens, n_words, n_end = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
     n_tokens, n_end = n_tokens or 0, n_end or 0
-    common = words.where(F.col("word").isNotNull() & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    common = _frequent(words)
     log_c = np.log10(common.column("n").to_numpy() + 0.5) if common.num_rows else np.zeros(0)
     shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "levels": _trained(texts), "words": common.column("word").to_pylist(), "log_c": log_c})
     below, log_end, log_none = math.log10(n_tokens + 0.5 * (n_words + 1)), math.log10(n_end + 0.5), math.log10(0.5)
