@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, keep, table
+from millrace.llm.common import fold, keep, smallest, table
 
 STEMS = (5, 4)
 DISCOUNT = 1.0
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, out_fold: int, id_col:
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     chosen = None
     for c in (0, 1):
-        part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+        part = smallest(known.where(F.col("toxic") == c), "label_id", sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = keep(chosen, "toxic-sample")
     # at most 2 * sample labelled ids are broadcast

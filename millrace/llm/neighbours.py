@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, keep, table
+from millrace.llm.common import fold, keep, smallest, table
 
 SAMPLE = 4000
 DIMENSIONS = 64
@@ -133,7 +133,7 @@ class Space:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int, out_fold: int, id_col: str, text_col: str, sample: int = SAMPLE) -> Space | None:
     known = labels.where((fold(F.col("doc_id"), folds) != out_fold) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
-    chosen = keep(known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample), "quality-sample")
+    chosen = keep(smallest(known, "label_id", sample), "quality-sample")
     # at most ``sample`` labelled ids are broadcast
     rows = docs.join(F.broadcast(chosen), docs[f"`{id_col}`"] == chosen["label_id"]).select("label_id", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), "quality")
 
