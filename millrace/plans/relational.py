@@ -67,8 +67,8 @@ add("agg_empty_input", ["orders"], "SELECT count(*) AS n, SUM0(o_orderkey) AS to
 add("agg_null_counts", ["orders"], "SELECT o_orderpriority, count(NULLIF(o_orderstatus, 'F')) AS n, count(DISTINCT NULLIF(o_orderstatus, 'F')) AS kinds FROM @orders GROUP BY o_orderpriority")
 add("agg_rollup", ["customer"], "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM @customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
 add("agg_cube", ["lineitem"], "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q FROM @lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
-add("agg_grouping_sets", ["lineitem"], "SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag) AS g1, CAST(GROUPING_ID(l_returnflag, l_linestatus) AS BIGINT) AS gid, count(*) AS n FROM @lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
-    "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g1, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS gid, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+add("agg_grouping_sets", ["lineitem"], "SELECT l_returnflag, l_linestatus, CAST(GROUPING(l_returnflag) AS BIGINT) AS g1, CAST(GROUPING_ID(l_returnflag, l_linestatus) AS BIGINT) AS gid, count(*) AS n FROM @lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
+    "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT) AS g1, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS gid, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 add("agg_distinct_several", ["lineitem"], "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS lines FROM @lineitem GROUP BY l_returnflag")
 add("agg_filter_clause", ["lineitem"], "SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, round(sum(l_quantity) FILTER (WHERE l_discount > 0.05), 2) AS q FROM @lineitem GROUP BY l_linestatus")
 add("agg_statistics", ["lineitem"], "SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sdp, round(stddev_samp(l_quantity), 6) AS sds, round(var_pop(l_quantity), 6) AS vp, round(var_samp(l_quantity), 6) AS vs, round(VARIANCE(l_quantity), 6) AS v FROM @lineitem GROUP BY l_returnflag")

@@ -80,7 +80,7 @@ QUERIES["fn_string_concat_and_encode"] = family("customer", "c_custkey", CUSTOME
 ])
 QUERIES["fn_string_hash_and_crypt"] = family("customer", "c_custkey", CUSTOMER, [
     ("f_md5", "MD5(c_name)", None), ("f_sha", "SHA(c_name)", "sha1(c_name)"), ("f_sha1", "SHA1(c_name)", None), ("f_sha256", "SHA256(c_name)", "sha256(c_name)"),
-    ("f_aes", "AES_DECRYPT(AES_ENCRYPT(c_name, '0123456789abcdef'), '0123456789abcdef')", "c_name"), ("f_hash64_null", "HASH64(CAST(NULL AS STRING))", "0"),
+    ("f_aes", "AES_DECRYPT(AES_ENCRYPT(c_name, '0123456789abcdef'), '0123456789abcdef')", "c_name"), ("f_hash64_null", "HASH64(CAST(NULL AS STRING))", "0::BIGINT"),
     ("f_soundex", "SOUNDEX('Robert')", "'R163'"), ("f_sha512", "LENGTH(SHA512(c_name))", "128"),
 ])
 QUERIES["fn_hash_values"] = family("customer", "c_custkey", CUSTOMER, [("f_hash", "HASH(c_name)", "-"), ("f_hash64", "HASH64(c_name)", "-"), ("f_hash_seeded", "HASH(c_name, 7)", "-"), ("f_crc32", "CRC32(c_name)", "-")])
@@ -109,25 +109,25 @@ QUERIES["fn_math_analytic"] = family("part", "p_partkey", "SELECT p_partkey, p_s
     ("f_sqrt", "ROUND(SQRT(p_size), 9)", None), ("f_cbrt", "ROUND(CBRT(p_size), 9)", None), ("f_exp", "ROUND(EXP(x), 9)", None), ("f_ln", "ROUND(LN(p_size), 9)", None), ("f_log", "ROUND(LOG(2, p_size), 9)", None), ("f_log10", "ROUND(LOG10(p_size), 9)", None), ("f_log2", "ROUND(LOG2(p_size), 9)", None),
     ("f_pow", "POW(p_size, 2)", "pow(p_size, 2)"), ("f_power", "POWER(p_size, 3)", "power(p_size, 3)"), ("f_sin", "ROUND(SIN(x), 9)", None), ("f_cos", "ROUND(COS(x), 9)", None), ("f_tan", "ROUND(TAN(x), 9)", None), ("f_cot", "ROUND(COT(x), 7)", None), ("f_asin", "ROUND(ASIN(x), 9)", None), ("f_acos", "ROUND(ACOS(x), 9)", None),
     ("f_atan", "ROUND(ATAN(x), 9)", None), ("f_atan2", "ROUND(ATAN2(x, 2), 9)", None), ("f_sinh", "ROUND(SINH(x), 9)", None), ("f_cosh", "ROUND(COSH(x), 9)", None), ("f_tanh", "ROUND(TANH(x), 9)", None), ("f_degrees", "ROUND(DEGREES(x), 9)", None), ("f_udfdegrees", "ROUND(UDFDEGREES(x), 9)", "round(degrees(x), 9)"), ("f_radians", "ROUND(RADIANS(p_size), 9)", None),
-    ("f_pi", "ROUND(PI(), 9)", None), ("f_e", "ROUND(E(), 9)", "2.718281828"), ("f_factorial", "FACTORIAL(5)", "120"),
+    ("f_pi", "ROUND(PI(), 9)", None), ("f_e", "ROUND(E(), 9)", "2.718281828::DOUBLE"), ("f_factorial", "FACTORIAL(5)", "120::BIGINT"),
 ], "SELECT p_partkey, p_size, p_size / 60.0::DOUBLE AS x FROM part")
 QUERIES["fn_bits"] = family("lineitem", "l_orderkey, l_linenumber, l_partkey, l_extendedprice", NUMBERS, [
     ("f_and", "BITWISE_AND(n, 12)", "n & 12"), ("f_or", "BITWISE_OR(n, 12)", "n | 12"), ("f_xor", "BITWISE_XOR(n, 12)", "xor(n, 12)"), ("f_xor2", "XOR(n, 5)", "xor(n, 5)"), ("f_not", "BITWISE_NOT(n)", "~n"), ("f_lshift", "LSHIFT(abs(n), 2)", "abs(n) * 4"), ("f_shiftleft", "SHIFTLEFT(abs(n), 1)", "abs(n) * 2"),
     ("f_rshift", "RSHIFT(abs(n), 1)", "abs(n) >> 1"), ("f_shiftright", "SHIFTRIGHT(abs(n), 2)", "abs(n) >> 2"), ("f_rshiftunsigned", "RSHIFTUNSIGNED(abs(n), 1)", "abs(n) >> 1"), ("f_shiftrightunsigned", "SHIFTRIGHTUNSIGNED(abs(n), 1)", "abs(n) >> 1"), ("f_bin", "BIN(abs(n))", "bin(abs(n))"), ("f_bin_negative", "BIN(-2)", "repeat('1', 31) || '0'"),
 ])
 QUERIES["fn_numbers_as_text"] = family("orders", "o_orderkey", ORDERS, [
-    ("f_format_number", "FORMAT_NUMBER(o_totalprice, 2)", "format('{:,.2f}', o_totalprice)"), ("f_to_number", "TO_NUMBER('12.345', '#.##')", "12.35"), ("f_isnumeric", "ISNUMERIC(o_orderpriority)", "false"), ("f_isnumeric2", "IS_NUMERIC(CAST(o_orderkey AS STRING))", "true"),
+    ("f_format_number", "FORMAT_NUMBER(o_totalprice, 2)", "format('{:,.2f}', o_totalprice)"), ("f_to_number", "TO_NUMBER('12.345', '#.##')", "12.35::DOUBLE"), ("f_isnumeric", "ISNUMERIC(o_orderpriority)", "false"), ("f_isnumeric2", "IS_NUMERIC(CAST(o_orderkey AS STRING))", "true"),
     ("f_cast", "CAST(o_orderkey AS STRING)", "CAST(o_orderkey AS VARCHAR)"), ("f_cast_int", "CAST('42' AS INT)", None),
 ])
 QUERIES["fn_date_parts"] = family("orders", "o_orderkey", ORDERS, [
     ("f_year", "YEAR(o_orderdate)", None), ("f_quarter", "QUARTER(o_orderdate)", None), ("f_month", "MONTH(o_orderdate)", None), ("f_week", "WEEK(o_orderdate)", None), ("f_weekofyear", "WEEKOFYEAR(o_orderdate)", "week(o_orderdate)"), ("f_yearweek", "YEARWEEK(o_orderdate)", "week(o_orderdate)"), ("f_day", "DAY(o_orderdate)", None),
     ("f_dayofmonth", "DAYOFMONTH(o_orderdate)", None), ("f_dayofyear", "DAYOFYEAR(o_orderdate)", None), ("f_dayofweek", "DAYOFWEEK(o_orderdate)", "dayofweek(o_orderdate) + 1"), ("f_hour", "HOUR(o_orderdate)", None), ("f_minute", "MINUTE(o_orderdate)", None), ("f_second", "SECOND(o_orderdate)", None),
-    ("f_date_part", "DATE_PART('year', o_orderdate)", None), ("f_extract", "EXTRACT(MONTH FROM o_orderdate)", None), ("f_last_day", "LAST_DAY(o_orderdate)", "last_day(CAST(o_orderdate AS DATE))"), ("f_unix_timestamp", "UNIX_TIMESTAMP(o_orderdate)", "CAST(epoch(o_orderdate) AS BIGINT)"),
+    ("f_date_part", "DATE_PART('year', o_orderdate)", "CAST(date_part('year', o_orderdate) AS INT)"), ("f_extract", "EXTRACT(MONTH FROM o_orderdate)", "CAST(extract(MONTH FROM o_orderdate) AS INT)"), ("f_last_day", "LAST_DAY(o_orderdate)", "last_day(CAST(o_orderdate AS DATE))"), ("f_unix_timestamp", "UNIX_TIMESTAMP(o_orderdate)", "CAST(epoch(o_orderdate) AS BIGINT)"),
 ])
 QUERIES["fn_date_arithmetic"] = family("orders", "o_orderkey", ORDERS, [
-    ("f_datediff", "DATEDIFF(o_orderdate, DATE'1995-01-01')", "date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))"), ("f_date_sub", "DATE_SUB(o_orderdate, 5)", "CAST(o_orderdate AS DATE) - 5"), ("f_date_add", "DATE_ADD(o_orderdate, 5)", "CAST(o_orderdate AS DATE) + 5"),
+    ("f_datediff", "DATEDIFF(o_orderdate, DATE'1995-01-01')", "CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT)"), ("f_date_sub", "DATE_SUB(o_orderdate, 5)", "CAST(o_orderdate AS DATE) - 5"), ("f_date_add", "DATE_ADD(o_orderdate, 5)", "CAST(o_orderdate AS DATE) + 5"),
     ("f_timestampadd", "TIMESTAMPADD(MONTH, 1, o_orderdate)", "o_orderdate + INTERVAL 1 MONTH"), ("f_timestampdiff", "TIMESTAMPDIFF(DAY, TIMESTAMP'1995-01-01 00:00:00', o_orderdate)", "date_sub('day', TIMESTAMP '1995-01-01 00:00:00', o_orderdate)"),
-    ("f_date_trunc", "DATE_TRUNC('month', o_orderdate)", "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)"), ("f_add_months", "ADD_MONTHS(CAST(o_orderdate AS DATE), 2)", "CAST(CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH AS DATE)"), ("f_months_between", "MONTHS_BETWEEN(TIMESTAMP'2001-03-31 00:00:00', TIMESTAMP'2001-01-31 00:00:00')", "2.0"),
+    ("f_date_trunc", "DATE_TRUNC('month', o_orderdate)", "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)"), ("f_add_months", "ADD_MONTHS(CAST(o_orderdate AS DATE), 2)", "CAST(CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH AS DATE)"), ("f_months_between", "MONTHS_BETWEEN(TIMESTAMP'2001-03-31 00:00:00', TIMESTAMP'2001-01-31 00:00:00')", "2.0::DOUBLE"),
     ("f_next_day", "NEXT_DAY(DATE'2024-01-03', 'TU')", "DATE '2024-01-09'"), ("f_convert_timezone", "CAST(CONVERT_TIMEZONE('UTC', 'America/New_York', TIMESTAMP_NTZ'2024-01-01 12:00:00') AS STRING)", "'2024-01-01 07:00:00'"),
 ])
 QUERIES["fn_date_formats"] = family("orders", "o_orderkey", ORDERS, [
@@ -137,7 +137,7 @@ QUERIES["fn_date_formats"] = family("orders", "o_orderkey", ORDERS, [
 ])
 QUERIES["fn_arrays_access"] = family("part", "p_partkey", ARRAYS, [
     ("f_array_length", "ARRAY_LENGTH(a)", "CAST(len(a) AS INT)"), ("f_array_size", "ARRAY_SIZE(a)", "CAST(len(a) AS INT)"), ("f_cardinality", "CARDINALITY(a)", "CAST(len(a) AS INT)"), ("f_size", "SIZE(b)", "3"), ("f_array_contains", "ARRAY_CONTAINS(b, 2)", "true"), ("f_array_contains_null", "ARRAY_CONTAINS(a, 99)", "CASE WHEN list_contains(a, 99) THEN true END"),
-    ("f_array_position", "ARRAY_POSITION(2, b)", "list_position(b, 2) - 1"), ("f_array_position_none", "ARRAY_POSITION(-5, b)", "CAST(NULL AS BIGINT)"), ("f_array_max", "ARRAY_MAX(a)", "list_max(a)"), ("f_array_min", "ARRAY_MIN(a)", "list_min(a)"), ("f_array_sum", "ARRAY_SUM(a)", "CAST(list_sum(a) AS BIGINT)"), ("f_array_avg", "ROUND(ARRAY_AVG(a), 6)", "round(list_sum(a) / 5.0, 6)"),
+    ("f_array_position", "ARRAY_POSITION(2, b)", "CAST(list_position(b, 2) - 1 AS BIGINT)"), ("f_array_position_none", "ARRAY_POSITION(-5, b)", "CAST(NULL AS BIGINT)"), ("f_array_max", "ARRAY_MAX(a)", "list_max(a)"), ("f_array_min", "ARRAY_MIN(a)", "list_min(a)"), ("f_array_sum", "ARRAY_SUM(a)", "CAST(list_sum(a) AS BIGINT)"), ("f_array_avg", "ROUND(ARRAY_AVG(a), 6)", "round(list_sum(a) / 5.0, 6)"),
     ("f_array_slice", "ARRAY_SLICE(b, 1, 3)", "b[2:3]"), ("f_array_slice_negative", "ARRAY_SLICE(b, -2)", "b[2:3]"), ("f_sublist", "SUBLIST(b, 0, 2)", "b[1:2]"), ("f_arrays_overlap", "ARRAYS_OVERLAP(b, array(2, 77))", "true"), ("f_element", "ELEMENT(array(p_size))", "p_size"),
 ], ARRAYS_DUCK)
 QUERIES["fn_arrays_build"] = family("part", "p_partkey", ARRAYS, [
@@ -158,7 +158,7 @@ QUERIES["fn_truth_and_types"] = family("orders", "o_orderkey", "SELECT o_orderke
 QUERIES["fn_geometry"] = family("customer", "c_custkey", "SELECT c_custkey, (c_custkey % 170) - 85.0D AS lat, (c_custkey % 350) - 175.0D AS lon FROM customer", [
     ("f_geo_distance", "ROUND(GEO_DISTANCE(lat, lon, 45.5D, 12.25D) / 1000, 3)", "round(2 * 6371 * asin(sqrt(pow(sin(radians(45.5 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(45.5)) * pow(sin(radians(12.25 - lon) / 2), 2))), 3)"),
     ("f_geo_nearby", "GEO_NEARBY(lat, lon, lat, lon, 1D)", "true"), ("f_geo_beyond", "GEO_BEYOND(lat, lon, lat, lon, 1D)", "false"), ("f_st_geohash", "ST_GEOHASH(45.4408D, 12.3155D, 6)", "'u20f80'"),
-    ("f_st_fromgeohash", "ROUND(ST_FROMGEOHASH(ST_GEOHASH(45.4408D, 12.3155D, 12)).latitude, 4)", "45.4408"),
+    ("f_st_fromgeohash", "ROUND(ST_FROMGEOHASH(ST_GEOHASH(45.4408D, 12.3155D, 12)).latitude, 4)", "45.4408::DOUBLE"),
 ], "SELECT c_custkey, (c_custkey % 170) - 85.0::DOUBLE AS lat, (c_custkey % 350) - 175.0::DOUBLE AS lon FROM customer")
 QUERIES["fn_udf_backed"] = family("customer", "c_custkey", CUSTOMER, [("f_normalize", "NORMALIZE_STRING(concat(c_name, 'é'), 'NFC')", "c_name || 'é'"), ("f_string_binary", "STRING_BINARY(CAST(concat(c_mktsegment, 'é') AS BINARY))", "c_mktsegment || '\\xC3\\xA9'")])
 QUERIES["fn_session"] = family("region", "r_regionkey", "SELECT r_regionkey FROM region", [
