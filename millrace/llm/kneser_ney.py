@@ -82,7 +82,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, half, unit, word, n): documents per unit; ``word`` is set for whole words only."""
+    """(toxic, half, unit, n): in how many texts a unit occurs."""
     seen: dict[tuple[int, int], dict[str, int]] = defaultdict(lambda: defaultdict(int))
 
     def out():
@@ -200,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, out_fold: int, id_col:
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = keep(chosen, "toxic-sample")
     # at most 2 * sample labelled ids are broadcast
-    rows = docs.join(F.broadcast(chosen), docs[f"`{id_col}`"] == chosen["label_id"]).select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), "toxic")
+    texts = docs.select(F.col(f"`{id_col}`").alias("label_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "label_id").select("text", "toxic")
     rows = rows.mapInArrow(_sketched, "text string, toxic int, sketch long").withColumn("half", F.pmod(F.xxhash64("sketch", F.lit(5)), F.lit(2)).cast("int"))
     # the smallest text of a sketch, so that reruns agree
     rows = rows.groupBy("sketch", "toxic").agg(F.min("text").alias("text"), F.first("half").alias("half")).select("text", "toxic", "half")

@@ -135,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, out_fold: int, id_col:
     known = labels.where((fold(F.col("doc_id"), folds) != out_fold) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
     chosen = keep(smallest(known, "label_id", sample), "quality-sample")
     # at most ``sample`` labelled ids are broadcast
-    rows = docs.join(F.broadcast(chosen), docs[f"`{id_col}`"] == chosen["label_id"]).select("label_id", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), "quality")
+    texts = docs.select(F.col(f"`{id_col}`").alias("label_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "label_id").select("label_id", "text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ ODD = [None, "", " ", "one", "one two", "Ünïcödé Σίσυφος İ ſ", "a\u
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [(i, t, "s") for i, t in enumerate(ODD)] + [(3, "one", "s"), (None, "one two", None)]
-    return spark.createDataFrame(rows, SCHEMA).withColumns({"fp": F.lit(1), "held_out": F.lit(2), "score": F.lit("x"), "word": F.lit("y")})
+    return spark.createDataFrame(rows, SCHEMA).withColumns({"fp": F.lit(1), "held_out": F.lit(2), "score": F.lit("x"), "word": F.lit("y"), "label_id": F.lit(3), "toxic": F.lit(1), "quality": F.lit("z"), "root": F.lit(0), "gone doc_id": F.lit(1)})
 
 
 @pytest.fixture(scope="module")
