@@ -287,6 +287,25 @@ def test_ppm_equals_brute_force(spark, sf_dir, monkeypatch):
         assert r.score == pytest.approx(slow(given[r.doc_id]), rel=1e-5)
 
 
+@pytest.mark.parametrize("head", [0, 40, 1 << 20])
+def test_ppm_knows_every_gram_however_rare(spark, monkeypatch, head):
+    monkeypatch.setattr(ppm, "HEAD", head)
+    rnd = random.Random(3)
+    given = {i: " ".join(rnd.choices(["alpha", "beta", "gamma"], k=400)) for i in range(60)}  # far more than 2 ** 16 positions
+    given |= {100 + i: f"{w} alpha" for i, w in enumerate(["quixotic", "zephyr", "quixotry", "zyx quip", ""])}
+    counts = [Counter() for _ in range(ppm.ORDER + 1)]
+    for i, t in given.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            s = [ppm.START] * ppm.ORDER + list(t.encode()) + [ppm.END]
+            for at in range(ppm.ORDER, len(s)):
+                for order in range(ppm.ORDER + 1):
+                    counts[order][sum(v << ppm.BITS * k for k, v in enumerate(reversed(s[at - order : at + 1])))] += 1
+    slow = slow_ppm([(np.array(list(c.keys())), np.array(list(c.values()))) for c in counts])
+    docs = spark.createDataFrame([(i, t, "s") for i, t in given.items()], SCHEMA)
+    for r in ppm.score(docs).collect():
+        assert r.score == pytest.approx(slow(given[r.doc_id].encode()), rel=1e-5)
+
+
 def test_ppm_edges(odd, nothing):
     assert ppm.score(nothing).count() == 0
     assert all(r.n_tokens >= 1 and r.score < 0 for r in ppm.score(odd).collect())
