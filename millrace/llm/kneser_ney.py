@@ -2,7 +2,8 @@
 
 One model of words per class (toxic, ordinary), a backoff chain from the whole
 word to its stem of five and then of four letters, and from there to what both
-classes share.  At each step a class's own count is discounted, and what the
+classes share.  At each step a class's own count is discounted (by Ney's estimate
+from how many units occur once and twice, at most 1), and what the
 discount sets free goes to the step below; the chain ends in continuation counts
 that both classes share: in how many different words a stem occurs, in either.
 Expressions that are rare in both classes thus cost both the same and decide
@@ -19,8 +20,9 @@ Learning: at most ``SAMPLE`` labelled documents per class (a documented bound;
 those with the smallest hashed ids), by distributed counts.  Of texts with the
 same sketch (the least hash of their eight-word shingles, which near copies
 mostly share) one is counted, lest a copied text's words look like a habit.
-Kept units are at least ``SHARE`` of their class's counts, at most 1 / SHARE per
-class and half, which bounds the broadcast.  Every document is scored, whole.
+All units are kept, those seen once too; only where a class and half has more
+than 1 / SHARE of them, those below ``SHARE`` of its counts are left out, which
+bounds the broadcast.  Every document is scored, whole.
 
 Defined cases: null, empty or wordless texts have ratio 0, as texts whose words
 decide nothing; labels that are null are not learned from; without both classes
@@ -46,8 +48,6 @@ from pyspark.sql import functions as F
 from millrace.llm.common import fold, keep, smallest, table
 
 STEMS = (5, 4)
-DISCOUNT = 1.0
-WIDE = 0.008  # and as many documents more, as a share of the class's: what a few near copies can reach
 DEAD = 2.0  # ratios up to this size are within what two samples of ordinary writing differ by
 TWICE = 2  # occurrences of a word that count in a text
 SKETCH = 8  # words of a shingle of the near-copy sketch
@@ -101,14 +101,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+def discount(counts: list[int]) -> float:
+    """Ney's estimate n1 / (n1 + 2 n2) from counts of counts; between 0 and 1."""
+    once, twice = counts.count(1), counts.count(2)
+    return once / (once + 2 * twice) if once else 0.5
+
+
 class Model:
     """Log-likelihood ratio (toxic over ordinary) of words, from each class's counts of units.
 
     ``kinds``: per stem, in how many different words of either class it occurs.
     """
 
-    def __init__(self, counts: list[dict[str, int]], sizes: list[int], kinds: dict[str, int], all_kinds: int):
-        self.discounts = [DISCOUNT + WIDE * n for n in sizes]  # sizes: documents per class
+    def __init__(self, counts: list[dict[str, int]], kinds: dict[str, int], all_kinds: int):
+        self.discounts = [[discount([n for u, n in own.items() if (u[-1:] == "$") == whole]) for whole in (True, False)] for own in counts]
         self.counts, self.kinds, self.all_kinds = counts, kinds, max(1, all_kinds)
         # mass per step, so that whole words and stems are each a distribution
         self.total = [[max(1, sum(n for u, n in own.items() if (u[-1:] == "$") == whole)) for whole in (True, False)] for own in counts]
@@ -122,13 +128,13 @@ class Model:
         chain, out = units(word), 0.0
         if any(u in own for own in self.counts for u in chain):
             p = []
-            for own, total, discount in zip(self.counts, self.total, self.discounts, strict=True):
+            for own, total, off in zip(self.counts, self.total, self.discounts, strict=True):
                 below, above = None, self.all_kinds
                 for u in reversed(chain):
                     kinds = 1 if u[-1:] == "$" else self.kinds.get(u, 1)
                     share = min(1.0, kinds / above)  # of the words below, by continuation counts
                     below = share if below is None else below * share
-                    below = max(own.get(u, 0) - discount, 0) / total[u[-1:] != "$"] + FREE * below
+                    below = max(own.get(u, 0) - off[u[-1:] != "$"], 0) / total[u[-1:] != "$"] + FREE * below
                     above = kinds
                 p.append(below)
             raw = math.log(p[0]) - math.log(p[1])
@@ -177,7 +183,7 @@ def _models(shared) -> list[Model]:
     value = shared.value
     if value["id"] not in _LOADED:
         _LOADED.clear()
-        _LOADED[value["id"]] = [Model(c, n, value["kinds"], value["all_kinds"]) for c, n in zip(value["counts"], value["sizes"], strict=True)]
+        _LOADED[value["id"]] = [Model(c, value["kinds"], value["all_kinds"]) for c in value["counts"]]
     return _LOADED[value["id"]]
 
 
@@ -207,9 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, out_fold: int, id_col:
     rows = rows.groupBy("sketch", "toxic").agg(F.min("text").alias("text"), F.first("half").alias("half")).select("text", "toxic", "half")
     rows = keep(rows, "toxic-texts")
     counts = keep(rows.mapInArrow(_counts, "toxic int, half int, unit string, n long").groupBy("toxic", "half", "unit").agg(F.sum("n").alias("n")), "toxic-units")
-    size = {(r[0], r[1]): r[2] for r in rows.groupBy("toxic", "half").count().collect()}  # four rows
-    total = {(r[0], r[1]): r[2] for r in counts.groupBy("toxic", "half").agg(F.sum("n")).collect()}  # four rows
-    least = F.coalesce(*[F.when((F.col("toxic") == c) & (F.col("half") == h), F.lit(max(1.0, SHARE * n))) for (c, h), n in total.items()], F.lit(0.0))
+    total = {(r[0], r[1]): r[2] if r[3] > 1 / SHARE else 0 for r in counts.groupBy("toxic", "half").agg(F.sum("n"), F.count(F.lit(1))).collect()}  # four rows
+    least = F.coalesce(*[F.when((F.col("toxic") == c) & (F.col("half") == h), F.lit(SHARE * n)) for (c, h), n in total.items()], F.lit(0.0))
     units_kept = keep(counts.where(F.col("n") > least), "toxic-kept")  # fewer than 1 / SHARE for each of four parts
     got = units_kept.toArrow()
     parts: dict[tuple[int, int], dict[str, int]] = {(c, h): {} for c in (0, 1) for h in (0, 1)}
@@ -221,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, out_fold: int, id_col:
     stems = whole_words.select(F.explode(F.array(*[F.when(F.length("unit") > k + 1, F.substring("unit", 1, k)) for k in STEMS])).alias("unit"))
     kinds = stems.groupBy("unit").count().join(units_kept.select("unit").distinct(), "unit", "left_semi").toArrow()
     shared_counts = {"kinds": dict(zip(kinds.column(0).to_pylist(), kinds.column(1).to_pylist(), strict=True)), "all_kinds": whole_words.count()}
-    halves = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "counts": [[parts[(1, 1 - h)], parts[(0, 1 - h)]] for h in (0, 1)], "sizes": [[size[(1, 1 - h)], size[(0, 1 - h)]] for h in (0, 1)], **shared_counts})
+    halves = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "counts": [[parts[(1, 1 - h)], parts[(0, 1 - h)]] for h in (0, 1)], **shared_counts})
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = _models(halves)
@@ -231,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, out_fold: int, id_col:
 
     fit = rows.mapInArrow(crossed, "mean double, top double, toxic int").toArrow()  # two numbers a sampled document
     rule = _logistic(np.c_[fit.column(0).to_numpy(), fit.column(1).to_numpy()], fit.column(2).to_numpy())
-    whole = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "counts": [[_summed([parts[(c, 0)], parts[(c, 1)]]) for c in (1, 0)]], "sizes": [[size[(c, 0)] + size[(c, 1)] for c in (1, 0)]], **shared_counts})
+    whole = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "counts": [[_summed([parts[(c, 0)], parts[(c, 1)]]) for c in (1, 0)]], **shared_counts})
     return whole, rule, share
 
 

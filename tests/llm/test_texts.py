@@ -227,6 +227,20 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+def test_toxicity_of_expressions_in_few_documents(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnoprstuvz", k=9))
+    plain, rare, rows, labels = [word() for _ in range(150)], [word() for _ in range(60)], [], []
+    for i in range(800):
+        said, toxic = rnd.choices(plain, k=25), i % 2
+        rows.append((i, " ".join([*said, *rnd.choices(rare, k=toxic)]), "s"))  # each in about six of 400 documents
+        labels.append((i, 1, toxic))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = kneser_ney.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.9 * len(got) > 100
+    assert all(0 <= kneser_ney.discount(c) <= 1 for c in ([], [1], [1, 2, 2, 9], [7, 8]))
+
+
 @pytest.mark.parametrize("model", [neighbours, kneser_ney])
 def test_models_without_labels_or_documents(spark, odd, nothing, model):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
