@@ -10,7 +10,9 @@ importance are removed from each page, and single texts that many different
 pages of the host repeat at the same node with them.
 
 Pages with the same main text count once in a host's tree, so an article that is
-copied from page to page is not taken for boilerplate.
+copied from page to page is not taken for boilerplate.  A page is known by all
+its candidate texts less those that stand on ``FEW`` or more pages of the host
+that differ in any of them.
 
 Distribution: parsing is a narrow map; the tree is a grouped count of
 (host, node, content) hashes, combined before the exchange, so a host with a
@@ -195,18 +197,20 @@ def main_text(page: str, low: frozenset[int], url: str | None) -> str:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, content, page mark) of the blocks that presentation leaves; a block's own words decide its page's mark."""
+    """(host, node, content, whole) of the blocks that presentation leaves; whole: all contents of the page in one."""
     for batch in batches:
-        node, content, mark = [], [], []
+        hosts, node, content, whole = [], [], [], []
         for url, page in zip(batch.column(0), batch.column(1), strict=True):
-            at, got = host(url.as_py()), candidates(blocks(page.as_py() or ""))
-            longest = max(got, key=lambda b: len(b.text), default=None)
-            own = _hash(longest.text) if longest else 0
-            for path, text in {(b.path, b.text) for b in got}:
-                node.append(_hash(at, path))
-                content.append(_hash(at, path, text))
-                mark.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (node, content, mark)], ["node", "content", "mark"])
+            at = host(url.as_py())
+            own = {_hash(at, b.path, b.text): _hash(at, b.path) for b in candidates(blocks(page.as_py() or ""))}
+            every = 0
+            for h in own:
+                every ^= h
+            hosts += [_hash(at)] * len(own)
+            node += own.values()
+            content += own.keys()
+            whole += [every] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (hosts, node, content, whole)], ["host", "node", "content", "whole"])
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +228,18 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def low_items(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Hashes of style nodes, and of single contents, of low importance."""
     rows = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    seen = rows.mapInArrow(_features, "node long, content long, mark long").distinct()
-    each = keep(seen.groupBy("node", "content").agg(F.count(F.lit(1)).alias("n")), "style-contents")  # n: different pages with this content
-    nodes = each.groupBy("node").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("contents"), F.avg(F.log("n")).alias("entropy"))
+    seen = keep(rows.mapInArrow(_features, "host long, node long, content long, whole long").distinct(), "style-seen")
+    shared = seen.groupBy("content").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW).select("content")
+    less = seen.join(shared, "content").groupBy("whole").agg(F.bit_xor("content").alias("less"))
+    mark = F.col("whole").bitwiseXOR(F.coalesce("less", F.lit(0).cast("long")))  # what is left of a page without its shared contents
+    marked = keep(seen.join(less, "whole", "left").select("host", "node", "content", mark.alias("mark")).distinct(), "style-marked")
+    each = keep(marked.groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("n")), "style-contents")  # n: different pages with this content
+    of_node = marked.select("node", "mark").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("pages"))
+    of_host = marked.select("host", "mark").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    nodes = each.groupBy("node").agg(F.avg(F.log("n")).alias("entropy")).join(of_node, "node")
     judged = nodes.where(F.col("pages") >= FEW).withColumn("importance", 1 - F.col("entropy") / F.nullif(F.log("pages"), F.lit(0.0)))
     low = judged.where(F.col("importance") < LOW).select(F.col("node").alias("item"))
-    often = each.where(F.col("n") >= FEW).join(judged.select("node", "pages"), "node").where(F.col("n") >= REPEATED * F.col("pages")).select(F.col("content").alias("item"))
+    often = each.where(F.col("n") >= FEW).join(of_host, "host").where(F.col("n") >= REPEATED * F.col("host_pages")).select(F.col("content").alias("item"))
     return keep(low.unionByName(often).distinct(), "style-low")
 
 

@@ -188,6 +188,19 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert site_tree.extract(spark.createDataFrame([], "page_id long, url string, html string, low string")).count() == 0
 
 
+def test_style_tree_counts_different_pages(spark):
+    rnd = random.Random(6)
+    said = lambda k: " ".join(rnd.choices(["aa", "bb", "cc", "dd", "ee"], k=k))
+    law = "all rights of every kind remain with the owner of this site " * 5  # longer than any article
+    pages = [(i, f"http://law.example/{i}", f"<body><div class='x'><p>{said(30)}</p></div><div class='y'><p>{law}</p></div></body>") for i in range(30)]
+    pages += [(100 + i, f"http://line.example/{i}", "<body><div class='x'>" + "".join(f"<p>{said(20)}</p>" for _ in range(10)) + "<p>Read more here</p></div></body>") for i in range(30)]
+    pages += [(200 + i, f"http://copy.example/{i}", f"<body><p>one article on every page</p><div class='y'><p>hint {i % 3}</p></div></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all("rights" not in got[i] and got[i] for i in range(30))
+    assert all("Read more" not in got[100 + i] and got[100 + i].count("\n") == 9 for i in range(30))
+    assert all("one article" in got[200 + i] for i in range(20))
+
+
 def test_pages_of_the_fixture(spark, sf_dir):
     import html
 
