@@ -251,7 +251,70 @@ def test_toxicity_of_expressions_in_few_documents(spark):
     docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = kneser_ney.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in got) >= 0.9 * len(got) > 100
-    assert all(0 <= kneser_ney.discount(c) <= 1 for c in ([], [1], [1, 2, 2, 9], [7, 8]))
+
+
+def plain_kneser_ney(texts):
+    """Both classes' probability of a word, by dictionaries: texts are (text, class)."""
+    counts, children, vocabulary = [Counter(), Counter()], [defaultdict(set), defaultdict(set)], set()
+    for text, y in texts:
+        for w in set(kneser_ney.words(text)):
+            vocabulary.add(w)
+            above = ""
+            counts[y][above] += 1
+            for u in kneser_ney.chain(w):
+                counts[y][u] += 1
+                children[y][above].add(u)
+                above = u
+    kinds = Counter(u for w in vocabulary for u in ["", *kneser_ney.chain(w)])
+    discounts = []
+    for own in counts:
+        times = Counter(n for u, n in own.items() if u)
+        discounts.append(times[1] / (times[1] + 2 * times[2]) if times[1] else 0.5)
+
+    def p(word, y):
+        out, above = 1.0, ""
+        for u in kneser_ney.chain(word):
+            shared = (kinds[u] or 1) / (kinds[above] + 1)
+            total, off = counts[y][above], discounts[y]
+            out *= (max(counts[y][u] - off, 0) + off * len(children[y][above]) * shared) / total if total else shared
+            if not kinds[u]:
+                break
+            above = u
+        return out
+
+    return p, vocabulary
+
+
+@pytest.fixture(scope="module")
+def small_models(spark, sf_dir):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(100).collect()]
+    rows = [(t, i % 2, i // 2 % 2) for i, t in enumerate(texts)]
+    units, n = kneser_ney.learned(spark.createDataFrame(rows, "text string, toxic int, half int"))
+    model = kneser_ney.Model(*units, [n["n00"] + n["n01"], n["n10"] + n["n11"]])
+    return model, *plain_kneser_ney([r[:2] for r in rows])
+
+
+def test_kneser_ney_equals_brute_force(small_models):
+    model, p, vocabulary = small_models
+    said = [*sorted(vocabulary), "neverseen", "the\u0001", "x"]
+    want = np.log([[p(w, y) for w in said] for y in (0, 1)])
+    assert np.allclose(model.log_p(said), want)
+
+
+def test_kneser_ney_sums_to_one(small_models):
+    """All known words, and one unseen continuation of each known beginning."""
+    model, _, vocabulary = small_models
+    begun = {u for w in vocabulary for u in kneser_ney.chain(w)[:-1]} | {""}
+    said = [*vocabulary, *[b + "\u0001" * 9 for b in begun]]
+    assert np.allclose(np.exp(model.log_p(said)).sum(1), 1)
+
+
+def test_kneser_ney_reads_long_runs_whole():
+    pieces = kneser_ney.words("x" * 40 + "schimpf" + "y" * 41)
+    assert all(len(w) <= kneser_ney.PIECE for w in pieces) and pieces[-1].endswith("y") and any("him" in w for w in pieces)
+    run = "abcdefghij" * 7 + "z"
+    pieces = kneser_ney.words(run)
+    assert pieces[0][:4] + "".join(w[4:] for w in pieces) == run
 
 
 @pytest.mark.parametrize("model", [neighbours, kneser_ney])
