@@ -1,10 +1,12 @@
 """Exact dedup, mixing and secret scanning against brute force, with edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,87 @@ def test_secret_battery_finds_random_strings_and_leaves_words(spark):
     found = {r.doc_id for r in got if any(s.kind == 3 for s in r.spans)}
     assert len(found & set(range(60))) >= 57 and not found & set(range(60, 120))
     assert secrets.scan(docs(spark, [])).count() == 0
+
+
+def slow_battery(candidate):
+    """(random_p, ordinary_p) of a candidate by plain floating-point steps; None if too short."""
+    s = re.sub("[_=-]", "", candidate)
+    if len(s) < 16:
+        return None
+    _, alphabet, repeat, counted = next(e for e in secrets.ENCODINGS if re.search(e[0], s))
+    v, n, a = np.array([alphabet.index(x) for x in s], float), len(s), len(alphabet)
+    above = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    log = lambda p: -math.log(max(p, 1e-300))
+    chi, df = max(0.0, a / n * (np.bincount(v.astype(int)) ** 2).sum() - n), a - 1
+    chi_z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = v >= a / 2
+    both = 2 * high.sum() * (n - high.sum())
+    runs_z = ((high[1:] != high[:-1]).sum() - both / n) / math.sqrt(max(both * (both - n) / (n * n * (n - 1)), 1e-9))
+    d = v - v.mean()
+    serial = (d[1:] * d[:-1]).sum() / max((d * d).sum(), 1e-9) * math.sqrt(n)
+    f = sum(log(min(1.0, 2 * above(abs(z)))) for z in (chi_z, runs_z, serial))
+    random_p = math.exp(-f) * (1 + f + f * f / 2)
+    off = max(0.0, n * (a * repeat - 1))
+    spread = 2 / 9 * (df + 2 * off) / (df + off) ** 2
+    chi_p = 1 - above(((chi / (df + off)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
+    if not counted:
+        return random_p, chi_p if random_p >= secrets.NOT_RANDOM else 1.0
+    if counted == "vowel":
+        changes = len(re.findall("[aeiouy]+|[^aeiouy]+", s.lower())) - 1
+        k, p = n - 1 - changes, 1 - secrets.SWITCHES
+    else:
+        k, p = len(re.findall("[a-z+/]+|[A-Z]+|[0-9]+", s)) - 1, secrets.CHANGES
+    share, runs_p = k / (n - 1), 1.0
+    if share > p:
+        kl = share * math.log(share / p) + ((1 - share) * math.log((1 - share) / (1 - p)) if share < 1 else 0)
+        width = max(1.0, math.sqrt(2 * math.pi * (n - 1) * share * (1 - share)))
+        runs_p = min(1.0, math.exp(-(n - 1) * kl) / width * (k + 1) * (1 - p) / (k + 1 - n * p))
+    w = log(chi_p) + log(runs_p)
+    return random_p, min(1.0, math.exp(-w) * (1 + w)) if random_p >= secrets.NOT_RANDOM else 1.0
+
+
+ORDINARY = [
+    "internationalization-of-configuration-settings", "antidisestablishmentarianism_everywhere_again", "nonetheless" * 5, "getElementsByTagNameAndClassNameFromDocument", "/usr/local/share/applications/menu",
+    "iPhone14ProMaxEditionBlackTitanium", "20230101201501012023", "00000000001111111111", "12345678901234567890", "LOREMIPSUMDOLORSITAMETCONSECTETUR", LOWER_CASE := "abcdefghijklmnopqrstuvwxyz", LOWER_CASE.upper() + "abcdef", "th" * 16,
+    "release-candidate-of-november-two", "verticillium_wilt_resistant_tomato", "schwarzwaldkirschtortenrezepte", "paralelepipedorectangularsolido",
+]
+
+
+def strings(alphabet, n, times, seed=3):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(alphabet) for _ in range(n)) for _ in range(times)]
+
+
+def test_secret_battery_equals_brute_force(spark):
+    every = ORDINARY + [s for i, e in enumerate(secrets.ENCODINGS) for n in (20, 33, 70) for s in strings(e[1], n, 3, i)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(every)], "i int, value string")
+    span = F.array(F.struct(F.lit(0).alias("start"), F.length("value").alias("end"), F.col("value")))
+    got = {r.i: r.c for r in df.select("i", F.get(secrets._tested(span), F.lit(0)).alias("c")).collect()}
+    for i, c in enumerate(every):
+        want = slow_battery(c)
+        for p, q in zip((got[i].random_p, got[i].ordinary_p), want, strict=True):
+            assert abs(math.log10(max(p, 1e-9)) - math.log10(max(q, 1e-9))) < 0.1, (c, p, q)
+
+
+#: At least so many of 100 random strings are found at 20, 32 and 64 symbols; see the README for those told apart less well.
+FOUND = {"0123456789abcdefghijklmnopqrstuvwxyz": (85, 95, 97), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": (60, 90, 97), "0123456789ABCDEF": (92, 95, 97), "0123456789": (15, 60, 90), "abcdefghijklmnopqrstuvwxyz": (30, 75, 95)}
+FOUND |= {LOWER_CASE.upper() + LOWER_CASE + "0123456789+/": (95, 95, 97), LOWER_CASE.upper() + LOWER_CASE + "0123456789": (95, 95, 97)}
+
+
+@pytest.mark.parametrize("alphabet", FOUND)
+def test_secret_found_rates_per_encoding(spark, alphabet):
+    rows = [(100 * k + i, f"id {s} end", "s") for k, n in enumerate((20, 32, 64)) for i, s in enumerate(strings(alphabet, n, 100))]
+    got = secrets.scan(docs(spark, rows)).collect()
+    found = [r.doc_id // 100 for r in got if any(s.kind == 3 or s.kind == 2 for s in r.spans)]
+    assert all(found.count(k) >= least for k, least in enumerate(FOUND[alphabet])), [found.count(k) for k in range(3)]
+
+
+def test_secret_false_discoveries_and_clashing_columns(spark):
+    """Among as many random strings, few of the ordinary ones are reported."""
+    key = LOWER_CASE.upper() + LOWER_CASE + "0123456789"
+    rows = [(i, s, "s") for i, s in enumerate(ORDINARY)] + [(1000 + i, s, "s") for n in (24, 40) for i, s in enumerate(strings(key, n, 60))]
+    df = docs(spark, rows).withColumns({c: F.lit("x") for c in ("t", "assign", "hex", "candidates", "base", "spans")})
+    got = secrets.scan(df).collect()
+    wrong = [r.doc_id for r in got if r.doc_id < 1000 and any(s.kind == 3 for s in r.spans)]
+    right = sum(any(s.kind == 3 for s in r.spans) for r in got if r.doc_id >= 1000)
+    assert right >= 110 and len(wrong) <= 0.1 * right, [ORDINARY[i] for i in wrong]
