@@ -212,6 +212,102 @@ def test_pages_of_the_fixture(spark, sf_dir):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+def test_main_text_keeps_what_only_sounds_like_noise():
+    page = "<div class='reader'><article><h1>T</h1><figure><img src=x><figcaption>of it</figcaption></figure><h2 class='head'>H</h2><p class='alert'>A</p><p>a</p></article></div>"
+    assert site_tree.main_text(page, frozenset(), None) == "T\nof it\nH\nA\na"
+    assert site_tree.main_text("<div class='reader'><p>kept</p></div>", frozenset(), None) == "kept"
+
+
+def test_pages_nested_deeply_take_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 50_000):
+        page = "<b>" + "<div>x</b><i>" * n + "<p>end" + "</div>" * n
+        began = time.perf_counter()
+        text = site_tree.main_text(page, frozenset({1}), "http://h/x")
+        took.append(time.perf_counter() - began)
+        assert text.count("x") == n and text.endswith("end")
+    assert took[1] < 30 * took[0]
+
+
+def neutral(pages):
+    """The fixture's pages with tags and names that declare nothing."""
+    html = F.regexp_replace(F.regexp_replace("html", "<(/?)(nav|footer|article)\\b", "<$1div"), 'class="ad"', 'class="b"')
+    for k, (begun, name) in enumerate((("<ul>", "a"), ("<h1>", "c"), ("&copy;", "d"))):
+        html = F.regexp_replace(html, f"<div>{begun}", f'<div class="{name}">{begun}')
+    return pages.withColumn("html", html)
+
+
+def test_style_tree_decides_on_pages_that_declare_nothing(spark):
+    """With the tree the articles, exactly; without it menus, adverts and footers stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: r.text for r in site_tree.extract(pages).collect()}
+    plain = neutral(pages)
+    assert {r.page_id: r.text for r in site_tree.extract(plain).collect()} == want
+    off = {r.page_id: site_tree.main_text(r.html, frozenset(), r.url) for r in plain.collect()}
+    assert all(off[i] != want[i] for i in want)
+    joined = site_tree.extract(plain, held=0)  # low items joined to pages instead of broadcast
+    assert {r.page_id: r.text for r in joined.collect()} == want
+
+
+def slow_importances(pages):
+    """{(host, path): (m, presentation, content)} by dictionaries."""
+    styles, texts, sizes, linked = defaultdict(dict), defaultdict(lambda: defaultdict(set)), defaultdict(dict), defaultdict(dict)
+    for url, page in pages:
+        at = site_tree.host(url)
+        found, nodes = site_tree.parse(page or "")
+        found = [b for b in found if not b.noise]
+        size, said = Counter(), defaultdict(set)
+        for b in found:
+            size[b.path] += len(b.text)
+            said[b.path].add(b.text)
+        mark, left = [], 0.9 * size.total()
+        for path, n in sorted(size.items(), key=lambda x: (-x[1], x[0])):
+            if left > 0:
+                mark.append((path, frozenset(said[path])))
+            left -= n
+        mark, style = frozenset(mark), defaultdict(list)
+        for n in nodes:
+            if not n.noise:
+                style[n.path] += ["<", *n.children]
+        for path, own in style.items():
+            styles[at, path][mark, tuple(own)] = tuple(own)  # a page differs by its mark or by the node's style
+        for b in found:
+            texts[at, b.path][b.text].add(mark)
+            sizes[at, b.path][b.text, mark] = len(b.text)
+            linked[at, b.path][b.text, mark] = len(b.text) * b.linked
+    first = {}
+    for key, by in styles.items():
+        m, total = len(by), sum(sizes[key].values())
+        most = math.log(m)
+        style = sum(-n / m * math.log(n / m) for n in Counter(by.values()).values()) / most if m > 1 else 1.0
+        same = np.mean([math.log(len(marks)) for marks in texts[key].values()]) / most if m > 1 and texts[key] else 0.0
+        first[key] = (m, style, max(0.0, 1 - same) * (1 - (sum(linked[key].values()) / total if total else 0)), total)
+    weight = defaultdict(float)
+    for (at, _), (_, _, content, total) in first.items():
+        weight[at] += total * content
+    second = {k: (m, max(s, n * c / weight[k[0]] if weight[k[0]] else 0.0), c) for k, (m, s, c, n) in first.items()}
+    everywhere = defaultdict(lambda: np.zeros(3))
+    for (_, path), (m, p, c) in second.items():
+        everywhere[path] += (m - 1, (m - 1) * p, (m - 1) * c)
+    out = {}
+    for (at, path), (m, p, c) in second.items():
+        w, wp, wc = everywhere[path]
+        out[at, path] = (m, ((m - 1) * p + 4 * (wp + 4) / (w + 4)) / (m + 3), ((m - 1) * c + 4 * (wc + 4) / (w + 4)) / (m + 3))
+    return out
+
+
+def test_style_tree_equals_brute_force(spark, sf_dir):
+    pages = neutral(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    given = [(r.url, r.html) for r in pages.orderBy("page_id").limit(50).collect()]
+    given += given[:5] + [("http://one.example/1", "<p>once</p>"), (None, None)]
+    want = {(site_tree._hash(at), path): v for (at, path), v in slow_importances(given).items()}
+    got = site_tree.importances(spark.createDataFrame(given, "url string, html string"))[0].collect()
+    assert {(r.host, r.path) for r in got} == set(want)
+    assert all(np.allclose((r.m, r.presentation, r.content), want[r.host, r.path]) for r in got)
+
+
 # -- models ---------------------------------------------------------------------------------
 def test_quality_on_held_out_labels(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
