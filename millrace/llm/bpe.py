@@ -218,7 +218,7 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self.split_special is None or "<|" not in text:
+        if self.split_special is None or not any(map(text.__contains__, self.special)):
             return self._piece(text)
         return b"".join(np.asarray([self.special[p]], "<u4").tobytes() if p in self.special else self._piece(p) for p in self.split_special(text) if p)
 
