@@ -1,7 +1,7 @@
 """Exact deduplication by two-pass Bloom filtering (DataFrame functions only).
 
-Pass 1 keeps a sparse counting filter: a 64-bit cell per normalised text and
-how many rows fell into it.  Only cells travel (8 bytes and a count, combined
+Pass 1 is a counting Bloom filter of one hash function, held sparsely: a 64-bit
+cell per normalised text and how many rows fell into it.  Only cells travel (8 bytes and a count, combined
 before the exchange), never texts or rows.  Cells met twice or more are set in
 a register-blocked Bloom filter: one 64-bit word per cell, three bits inside it.
 
@@ -11,8 +11,9 @@ without an exchange; rows that hit, true repeats and a few false positives,
 are the only ones that shuffle, on their SHA-256.
 
 Scale: the filter has at most ``max_words`` 64-bit words whatever the input
-(2**22 words, 64 MB of payload), which bounds the broadcast.  Beyond that it
-saturates: more rows then take the exchange, and the result stays the same.
+(2**22 words, 64 MB of payload), which bounds the broadcast.  From about
+2**26 repeated texts on (four set bits a word and hash) it saturates: more rows then
+take the exchange, and the result stays the same.
 A group holding a third of all rows is combined before the exchange where it
 is aggregated, and split by the skew-join rule where it is joined back.
 
@@ -84,7 +85,7 @@ def _probed(rows: DataFrame, cells: DataFrame, max_words: int) -> tuple[DataFram
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 22) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     rows = keep(
-        docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest")).select(
+        docs.select(F.col(f"`{id_col}`").alias("id"), digest(F.col(f"`{text_col}`")).alias("digest")).select(
             "id", "digest", F.xxhash64("digest").alias("cell"), F.monotonically_increasing_id().alias("rid")
         ),
         "dedup-digests",
