@@ -199,10 +199,16 @@ def parse(data: bytes) -> Stream:
         out.checked += len(pos)
         out.crc_ok += int((crc16(body) == stored).sum())
     held = b"".join([data[o + 4 + 2 * h.protected + h.side : o + h.length] for o, h in zip(offsets, heads, strict=True)])
-    out.payload = held[: int(out.tags.get("payload_bytes", len(held)))]
+    out.payload = held[: _number(out.tags, "payload_bytes", len(held))]
     return out
 
 
+def _number(tags: dict[str, str], key: str, otherwise: int) -> int:
+    """A tag's count; ``otherwise`` if it is missing or damaged."""
+    value = tags.get(key, "")
+    return int(value) if value.isascii() and value.isdigit() else otherwise
+
+
 def _counted(heads: list[Header]):
     """Each kind of frame and how many there are: durations then round once per kind."""
     seen: dict[tuple[int, int], list] = {}
@@ -251,7 +257,7 @@ def padded(raw: bytes, unit: int = 64) -> bytes:
 
 def feature(s: Stream) -> str:
     kinds = ",".join(f"{k}x{n}" for k, n in sorted(s.kbps.items()))
-    sound = zlib.crc32(s.payload) == int(s.tags.get("payload_crc32", -1))
+    sound = zlib.crc32(s.payload) == _number(s.tags, "payload_crc32", -1)
     return (
         f"frames={s.frames};samples={s.samples};rate={s.rate};duration_us={s.duration_us};kbps={kinds};crc={s.crc_ok}/{s.checked};"
         f"resyncs={s.resyncs};xing={s.xing.get('frames', 0)};whole={int(sound)};offsets={zlib.crc32(s.offsets.astype('<i8').tobytes()):08x}"
@@ -306,4 +312,4 @@ def read(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), media_
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = read(store(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration_us", "offsets")
