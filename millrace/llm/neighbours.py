@@ -36,6 +36,7 @@ SAMPLE = 4000
 DIMENSIONS = 64
 NEIGHBOURS = 15
 BLOCK = 512
+DIGITS = 5  # decimals of a similarity; equal vectors tie whatever the order of floating-point sums
 HASHED = 256
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 GRADES = 12
@@ -100,6 +101,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Per row the columns of the ``k`` largest values; of equal ones those that come first."""
+    least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+    above, tied = near > least, near == least
+    chosen = above | tied & (np.cumsum(tied, axis=1) <= k - above.sum(1, keepdims=True))
+    return np.nonzero(chosen)[1].reshape(-1, k)
+
+
 class Space:
     """Latent-semantic space of a labelled sample, and its voting rule."""
 
@@ -122,8 +131,8 @@ class Space:
         for at in range(0, len(tf), BLOCK):
             part = tf[at : at + BLOCK]
             q = _unit(_weighted(part, self.idf) @ self.basis)
-            near = q @ self.known.T
-            pick = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            near = np.round(q @ self.known.T, DIGITS)
+            pick = nearest(near, k)
             w = np.maximum(0, np.take_along_axis(near, pick, 1)) ** 8
             vote = (w * self.label[pick]).sum(1) + 0.05 * self.share
             has = part.sum(1) > 0
@@ -136,17 +145,17 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, out_fold: int, id_col:
     chosen = keep(smallest(known, "label_id", sample), "quality-sample")
     # at most ``sample`` labelled ids are broadcast
     texts = docs.select(F.col(f"`{id_col}`").alias("label_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "label_id").select("label_id", "text", "quality")
+    rows = texts.join(F.broadcast(chosen), "label_id").select("label_id", "text", "quality", F.pmod(F.xxhash64("label_id"), F.lit(1 << 40)).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tf = [terms(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tf, pa.list_(pa.float32()))], ["label_id", "quality", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(tf, pa.list_(pa.float32()))], ["label_id", "quality", "rank", "tf"])
 
-    got = rows.mapInArrow(run, f"label_id {dict(rows.dtypes)['label_id']}, quality int, tf array<float>").toArrow()  # at most ``sample`` rows of TERMS numbers
+    got = rows.mapInArrow(run, f"label_id {dict(rows.dtypes)['label_id']}, quality int, rank long, tf array<float>").toArrow()  # at most ``sample`` rows of TERMS numbers
     if not got.num_rows:
         return None
-    got = got.sort_by("label_id")
+    got = got.sort_by([("rank", "ascending"), ("label_id", "ascending")])  # the order ties go by
     return Space(got.column("tf").combine_chunks().flatten().to_numpy().reshape(-1, TERMS), got.column("quality").to_numpy())
 
 
