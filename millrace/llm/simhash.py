@@ -22,8 +22,8 @@ so a huge group of near copies gives links in proportion to its members.
 
 Defined cases: null text counts as empty; texts without words have fingerprint
 zero and link like any other; fewer than three words are one shingle; equal
-fingerprints link; repeated rows each get their component; a null id never
-names a component unless all its ids are null; an empty table gives an empty
+fingerprints link; repeated rows each get their component and ``dedup`` keeps one
+of them; a null id never names a component unless all its ids are null; an empty table gives an empty
 table; further columns are ignored by ``components`` and carried by ``dedup``.
 """
 
@@ -67,16 +67,18 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) per row."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) per row, and the columns named in ``carry`` as ``kept ...``."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("read text"), *[F.col(f"`{c}`").alias(f"kept {c}") for c in carry])
+    kept = [f"kept {c}" for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *[batch.column(i) for i in range(2, batch.num_columns)]], ["doc_id", "fp", *kept])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", "fp long", *[f"`{k}` {kinds[k]}" for k in kept]]))
 
 
 def _node_pairs(fps: DataFrame) -> DataFrame:
@@ -262,23 +264,32 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long")
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """(fp, first) per distinct fingerprint: ``first`` is the least (no id, id, row) of its component."""
+    each = keep(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))).alias("least")), "simhash-distinct")
+    star = roots(links(each.select("fp")))
+    named = keep(each.join(star, each["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = keep(named.groupBy("root").agg(F.min("least").alias("first")), "simhash-components")
+    return keep(named.join(least, "root").select("fp", "first"), "simhash-ids")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (hex), component_id."""
-    rows = keep(fingerprints(docs, id_col, text_col), "simhash")
-    each = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    star = roots(links(each.select("fp")))
-    named = each.join(star, each["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = keep(named, "simhash-roots")
-    least = keep(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
-    ids = keep(named.join(least, "root").select("fp", "component_id"), "simhash-ids")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = keep(fingerprints(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "simhash")
+    return rows.join(_rooted(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each component with the smallest id, all columns whole."""
-    found = components(docs, id_col, text_col)
-    gone = keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias(f"gone {id_col}")).distinct(), "simhash-gone")
-    return docs.join(gone, docs[f"`{id_col}`"] == gone[f"`gone {id_col}`"], "left_anti")
+    """One row of each component, that with the smallest id (null last; of equal ids one), all columns whole.
+
+    Rows are told apart by a number of their own, written with them: repeated or
+    null ids neither drop other rows nor keep copies.
+    """
+    names = tuple(docs.columns)
+    rows = keep(fingerprints(docs, id_col, text_col, names).withColumn("rid", F.monotonically_increasing_id()), "simhash-rows")
+    slim = rows.select("doc_id", "fp", "rid")
+    gone = keep(slim.join(_rooted(slim), "fp").where(F.col("rid") != F.col("first.rid")).select("rid"), "simhash-gone")
+    return rows.join(gone, "rid", "left_anti").select(*[F.col(f"`kept {c}`").alias(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
