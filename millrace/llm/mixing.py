@@ -7,7 +7,8 @@ variable.  The dual is convex, so safeguarded Newton steps solve it for every
 source at once; each step is one distributed aggregation over the exact
 (source, size) histogram, which is far smaller than the corpus.
 
-Rounding: copies = floor(rate + u) with u a hash of the id.  The rounded total
+Rounding: copies = floor(rate + u) with u a hash of the id and the text (of the
+row's number, where the id is null).  The rounded total
 is a step function that never falls as lambda grows, so a few grid refinements
 over all documents re-tune lambda until the taken words meet the target to
 within about one document.  Texts never shuffle: a document's copies depend
@@ -20,7 +21,8 @@ by its own size check and otherwise splits the skewed side.
 
 Defined cases: null or empty texts have size 0, take part with rate 1 and add
 nothing; a null source is a source of its own, ordered last; repeated rows are
-mixed each on its own; documents with the same id and size get the same copies;
+mixed each on its own; rows with the same id and text share a rounding offset, and
+the single-document corrections still tell them apart by row;
 an empty table, or one without any word, gives targets 0; further columns are
 carried by ``mix`` and ignored by ``plan``.
 """
@@ -37,7 +39,7 @@ GRID = 32
 REFINE = 4
 FLIPS = 3
 FLIP = "array<struct<id:bigint,delta:int>>"
-STEPS = 40
+STEPS = 400  # safeguarded Newton steps need some ten; far beyond is a fault, and raised
 TOLERANCE = 1e-9
 FAR = 1e9  # a dual value at which every document with words is at its cap
 
@@ -123,6 +125,8 @@ def _dual(hist: DataFrame, sources: DataFrame) -> DataFrame:
             ),
             "mix-dual",
         )
+    else:
+        raise RuntimeError(f"the dual is not solved after {STEPS} steps")
     # a fixed grid makes reruns agree in spite of floating-point sums in any order
     return state.select("source", "source_size", "target", "mean", F.round("lam", 6).alias("lam"))
 
@@ -161,7 +165,7 @@ def _tuned(sizes: DataFrame, dual: DataFrame) -> DataFrame:
 def _final():
     """Copies with the source's flips applied."""
     own = F.filter("flips", lambda f: f["id"] == F.col("key"))
-    return (_copies(F.col("lam")) + F.aggregate(own, F.lit(0), lambda acc, f: acc + f["delta"])).cast("int")
+    return F.least(F.lit(int(CAP)), F.greatest(F.lit(0), _copies(F.col("lam")) + F.aggregate(own, F.lit(0), lambda acc, f: acc + f["delta"]))).cast("int")
 
 
 def _flipped(sizes: DataFrame, state: DataFrame) -> DataFrame:
@@ -172,7 +176,7 @@ def _flipped(sizes: DataFrame, state: DataFrame) -> DataFrame:
         lack = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("lack"))
         r, g = rows.alias("r"), keep(lack, "mix-lack").alias("g")
         near = r.join(g, F.col("r.source").eqNullSafe(F.col("g.source"))).where(
-            F.when(F.col("lack") > 0, F.col("copies") < CAP).otherwise(F.col("copies") > 0) & (F.abs(F.abs("lack") - F.col("size")) < F.abs("lack")) & F.col("key").isNotNull()
+            F.when(F.col("lack") > 0, F.col("copies") < CAP).otherwise(F.col("copies") > 0) & (F.abs(F.abs("lack") - F.col("size")) < F.abs("lack")) 
         )
         order = F.abs(F.abs("lack") - F.col("size")) + F.col("u") / 1000  # ties by the hash of the id
         pick = near.groupBy(F.col("g.source").alias("source")).agg(F.min_by("key", order).alias("id"), F.first(F.signum("lack").cast("int")).alias("delta"))
@@ -183,14 +187,21 @@ def _flipped(sizes: DataFrame, state: DataFrame) -> DataFrame:
     return state
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list:
-    """Source, size, key and rounding offset of a row, as columns."""
-    return [
-        F.xxhash64(F.col(f"`{id_col}`"), F.lit(11)).alias("key"),
-        F.col(f"`{source_col}`").alias("source"),
-        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(7)), F.lit(1 << 40)) / float(1 << 40)).alias("u"),
-    ]
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    """Source, size, row number and rounding offset of each row, and further columns, written as a table.
+
+    What tells rows apart is the number they are written with, so repeated or null
+    ids do not matter.
+    """
+    numbered = docs.select(*more, F.col(f"`{id_col}`").alias("own id"), F.col(f"`{text_col}`").alias("own text"), F.col(f"`{source_col}`").alias("source"), F.monotonically_increasing_id().alias("key"))
+    drawn = F.xxhash64("own id", "own text", F.when(F.col("own id").isNull(), F.col("key")), F.lit(7))
+    return keep(
+        numbered.select(
+            *[F.col(f"`{c}`") for c in numbered.columns if c not in ("own id", "own text")],
+            F.coalesce(F.regexp_count("own text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.pmod(drawn, F.lit(1 << 40)) / float(1 << 40)).alias("u"),
+        ),
+        "mix-sizes",
+    )
 
 
 def _solve(sizes: DataFrame, cycle: int) -> DataFrame:
@@ -201,7 +212,7 @@ def _solve(sizes: DataFrame, cycle: int) -> DataFrame:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3) -> DataFrame:
     """Per input row: doc_id, size, source_size, target, taken, copies, rate."""
-    sizes = keep(docs.select(F.col(f"`{id_col}`").alias("doc_id"), *_sized(docs, id_col, text_col, source_col)), "mix-sizes")
+    sizes = _sized(docs, id_col, text_col, source_col, F.col(f"`{id_col}`").alias("doc_id"))
     z, s = sizes.alias("z"), _solve(sizes, cycle).alias("s")
     copies = _final().cast("long")
     return z.join(s, F.col("z.source").eqNullSafe(F.col("s.source"))).select(
@@ -212,9 +223,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3) -> DataFrame:
     """The mixed corpus: each row as often as its copies say, all columns whole."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sizes = keep(docs.select(*_sized(docs, id_col, text_col, source_col)), "mix-sizes")
-    z, s = docs.select(row, *_sized(docs, id_col, text_col, source_col)).alias("z"), _solve(sizes, cycle).alias("s")
+    rows = _sized(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    z, s = rows.alias("z"), _solve(rows.drop("row"), cycle).alias("s")
     taken = z.join(s, F.col("z.source").eqNullSafe(F.col("s.source"))).withColumn("copies", _final()).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
