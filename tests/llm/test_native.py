@@ -112,6 +112,48 @@ def test_mixing_rows_repeat_and_empty_tables(spark):
     assert all(r.target == 0 and r.taken == 0 for r in none)
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "rows"])
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark, ids):
+    rnd = random.Random(11)
+    rows = [({"null": None, "one": 7, "rows": i // 4}[ids], " ".join("w" * rnd.randint(1, 99)), "abc"[i % 3]) for i in range(240)]
+    if ids == "rows":
+        rows = [r for r in rows[::4] for _ in range(4)]  # rows alike in every column
+    got = mixing.plan(docs(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.source_size, r.target), []).append(r.taken)
+    assert len(got) == len(rows) and all(0 <= r.copies <= 3 for r in got)
+    assert all(abs(sum(t) - target) <= 0.02 * target for (_, target), t in by.items())
+    mixed = mixing.mix(docs(spark, rows)).collect()
+    assert abs(sum(len(r.text.split()) for r in mixed) - sum(r.taken for r in got)) <= 0.02 * len(rows) * 50
+
+
+def test_mixing_dual_equals_brute_force(spark):
+    """Rates are min(3, exp(lam * x)) with the lam that meets each source's target, found by bisection."""
+    rnd = random.Random(13)
+    rows = [(i, " ".join("w" * rnd.randint(1, 60)), s) for i, s in enumerate("a" * 90 + "b" * 60 + "c" * 50)]
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    hist = spark.createDataFrame([(s, sizes[i]) for i, _, s in rows], "source string, size long").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    solved = {r.source: r for r in mixing._dual(hist, mixing._targets(sources, 3)).collect()}
+    for source in "abc":
+        own = [sizes[i] for i, _, s in rows if s == source]
+        mean = sum(own) / len(own)
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            below = sum(x * min(3.0, math.exp(min(50, mid * x / mean))) for x in own) < solved[source].target
+            low, high = (mid, high) if below else (low, mid)
+        assert abs(solved[source].lam - low) < 2e-6
+
+
+def test_dedup_annotates_with_clashing_columns(spark):
+    df = docs(spark, EDGE).withColumns({c: F.lit("x") for c in ("id", "digest", "cell", "rid", "first", "group_size")})
+    assert exact_dedup.annotate(df).count() == len(EDGE)
+    dotted = docs(spark, EDGE).withColumnsRenamed({"doc_id": "a.id", "text": "a text"})
+    assert exact_dedup.annotate(dotted, "a.id", "a text").count() == len(EDGE)
+
+
 def spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[1]) >= 12]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]

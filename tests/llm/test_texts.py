@@ -110,6 +110,14 @@ def test_simhash_equals_brute_force(spark, monkeypatch, limit):
     assert {r.doc_id for r in simhash.dedup(df).collect()} == set(least.values())
 
 
+def test_simhash_dedup_goes_by_rows(spark):
+    near = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, near, "a"), (7, near + " x", "b"), (7, "something else entirely that nothing is like", "c"), (7, "something else entirely that nothing is like", "d"), (None, near, "e"), (None, "a text of its own without any id at all", "f")]
+    out = simhash.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in out if r.doc_id is not None) == sorted((False, i, t) for i, t in {(1, near), (7, rows[2][1])})
+    assert [r.text for r in out if r.doc_id is None] == [rows[5][1]]
+
+
 def test_simhash_edges(odd, nothing):
     assert simhash.components(odd).count() == odd.count() and simhash.components(nothing).count() == 0
     assert simhash.dedup(odd).columns == odd.columns
@@ -158,6 +166,14 @@ def test_mpeg_resynchronises_and_notices_damage():
     assert all(mpeg.header(whole[o : o + 4]) for o in s.offsets.tolist())
 
 
+def test_mpeg_damaged_tags():
+    whole = mpeg.build(b"payload" * 99)
+    at = whole.index(b"payload_bytes\0") + len(b"payload_bytes\0")
+    for damage in (b"x1", b"\xb2\xb2", b"-1"):
+        s = mpeg.parse(whole[:at] + damage + whole[at + 2 :])
+        assert s.frames and s.payload.startswith(b"payload") and mpeg.feature(s)
+
+
 def test_mpeg_columns(odd, nothing):
     for r in mpeg.read(mpeg.store(odd)).collect():
         raw = (ODD[r.doc_id] or "").encode() if r.doc_id is not None else b"one two"
@@ -308,6 +324,35 @@ def test_style_tree_equals_brute_force(spark, sf_dir):
     assert all(np.allclose((r.m, r.presentation, r.content), want[r.host, r.path]) for r in got)
 
 
+def test_quality_equals_brute_force(spark, sf_dir):
+    """Votes of the nearest by plain sorting, ties to the smaller hashed id; copies tie exactly."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100_000))
+    labels = labels.unionByName(labels.withColumn("doc_id", F.col("doc_id") + 100_000).withColumn("quality", 1 - F.col("quality")))
+    space = neighbours.train(docs, labels, 3, 1, "doc_id", "text")
+    got = {r.doc_id: r.score for r in neighbours.score(docs, labels).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        tf = neighbours.terms((r.text or "").encode())[None, :]
+        q = neighbours._unit(neighbours._weighted(tf, space.idf) @ space.basis)[0]
+        near = [round(float(np.dot(q.astype(np.float64), v.astype(np.float64))), neighbours.DIGITS) for v in space.known]
+        first = sorted(range(len(near)), key=lambda i: (-near[i], i))[: neighbours.NEIGHBOURS]  # noqa: B023
+        w = [max(0.0, near[i]) ** 8 for i in first]
+        vote = (sum(a * space.label[i] for a, i in zip(w, first, strict=True)) + 0.05 * space.share) / (sum(w) + 0.05)
+        assert abs(got[r.doc_id] - (vote if tf.sum() else space.share)) < 0.07  # a tie of floats may fall either way
+
+
+def test_nearest_gives_ties_to_the_first():
+    near = np.array([[1, 2, 2, 2, 0], [5, 5, 5, 5, 5], [1, 2, 3, 4, 5]], np.float32)
+    assert neighbours.nearest(near, 2).tolist() == [[1, 2], [0, 1], [3, 4]]
+    assert neighbours.nearest(near, 5).tolist() == [[0, 1, 2, 3, 4]] * 3
+
+
+def test_components_raise_when_rounds_run_out(spark, monkeypatch):
+    monkeypatch.setattr(components, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="still change"):
+        components.roots(spark.createDataFrame([(i + 1, i) for i in range(50)], "a long, b long"))
+
+
 # -- models ---------------------------------------------------------------------------------
 def test_quality_on_held_out_labels(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
