@@ -207,7 +207,7 @@ def _travel(spark, sf_dir):
 def _optimize(spark, sf_dir):
     t = _table(spark, sf_dir, "optimize")
     t.optimize(2)
-    t.vacuum(keep=1)
+    t.vacuum(keep=1, grace_ms=0)
     return t.read()
 
 
