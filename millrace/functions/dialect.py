@@ -41,7 +41,7 @@ ALIASES = {
     "regexp_matches": "regexp_like", "repeatstr": "repeat", "system_user": "current_user", "to_hex": "hex", "transaction_timestamp": "current_timestamp",
     "translate3": "translate", "udfdegrees": "degrees", "variance": "var_samp", "random": "rand", "covariance": "covar_samp", "correlation": "corr",
     "timestamptype": "make_timestamp", "datetype": "make_date", "timetype": "make_time", "to_time": "try_to_time", "hll_merge": "hll_union_agg",
-    "hll_decode": "hll_sketch_estimate", "every": "bool_and", "tdigest": "kll_sketch_agg_double", "mod": "mod", "isnan": "isnan",
+    "hll_decode": "hll_sketch_estimate", "every": "bit_and", "tdigest_merge": "kll_merge_agg_double", "mod": "mod", "isnan": "isnan",
 }
 
 _GREAT_CIRCLE = (
@@ -103,7 +103,12 @@ COMPOSED: dict[str, dict[int, str]] = {
     "mask_show_first_n": {2: "concat(left({0}, {1}), mask(substring({0}, {1} + 1), 'X', 'x', 'n', NULL))"},
     "mask_show_last_n": {2: "concat(mask(left({0}, greatest(length({0}) - {1}, 0)), 'X', 'x', 'n', NULL), right({0}, {1}))"},
     # numbers
-    "truncate": {1: "(sign({0}) * floor(abs({0})) + 0D)", 2: "(sign({0}) * floor(abs({0}) * pow(10, {1})) / pow(10, {1}) + 0D)"},
+    "truncate": {
+        1: "(sign({0}) * floor(abs({0})) + 0D)",
+        # through decimals, in which 1.15 * 100 is 115; beyond their range a double has no such digits
+        2: "CAST(sign({0}) * coalesce(CAST(floor(try_cast(abs({0}) AS DECIMAL(28,10)) * CAST(pow(10, greatest({1}, 0)) AS DECIMAL(10,0)) / CAST(pow(10, greatest(-({1}), 0)) AS DECIMAL(10,0))) AS DOUBLE), "
+           "abs({0}) * pow(10, {1})) / pow(10, {1}) + 0D AS DOUBLE)",
+    },
     "divide": {2: "CASE WHEN {1} = 0 THEN CASE WHEN {0} > 0 THEN double('Infinity') WHEN {0} < 0 THEN double('-Infinity') WHEN {0} = 0 THEN double('NaN') END ELSE {0} / {1} END"},
     "bitwise_and": {2: "({0} & {1})"}, "bitwise_or": {2: "({0} | {1})"}, "bitwise_xor": {2: "({0} ^ {1})"}, "bitwise_not": {1: "(~{0})"},
     "xor": {2: "({0} ^ {1})"},
@@ -111,7 +116,8 @@ COMPOSED: dict[str, dict[int, str]] = {
     "isnumeric": {1: _NUMERIC}, "is_numeric": {1: _NUMERIC},
     "to_number": {1: "CAST({0} AS DOUBLE)", 2: "round(CAST({0} AS DOUBLE), IF(instr({1}, '.') = 0, 0, length({1}) - instr({1}, '.')))"},
     "sum0": {1: "coalesce(sum({0}), 0)"},
-    "approx_percentile": {2: "percentile({0}, {1})"}, "tdigest_quantile": {2: "percentile({1}, {0})"},
+    "approx_percentile": {2: "percentile_approx({0}, {1}, 10000)"},
+    "tdigest": {1: "kll_sketch_agg_double(CAST({0} AS DOUBLE))"}, "tdigest_quantile": {2: "kll_sketch_get_quantile_double({1}, {0})"},
     # hashing
     "hash64": {1: "IF({0} IS NULL, 0L, xxhash64({0}))", 2: "IF({0} IS NULL, {1}, xxhash64({0}, {1}))"}, "hash": {1: "hash({0})", 2: "hash({0}, {1})"},
     # truth and types
@@ -130,6 +136,7 @@ COMPOSED: dict[str, dict[int, str]] = {
     "datediff": {2: "datediff({0}, {1})"}, "date_sub": {2: "date_sub(CAST({0} AS DATE), {1})"}, "date_add": {2: "date_add(CAST({0} AS DATE), {1})"},
     "timestampadd": {3: "timestampadd({0}, {1}, {2})"}, "timestampdiff": {3: "timestampdiff({0}, {1}, {2})"},
     "current_date_utc": {0: "to_date(to_utc_timestamp(current_timestamp(), current_timezone()))"},
+    "current_role": {0: "current_user()"}, "is_member": {1: "({0} = current_user())"},
     "current_path": {0: "concat_ws('.', current_catalog(), current_schema())"},
     "date_trunc": {2: "date_trunc({0}, {1})"},
     # conversion
@@ -146,7 +153,7 @@ COMPOSED: dict[str, dict[int, str]] = {
     "session_start": {2: "session_window({0}, {1}).start"}, "session_end": {2: "session_window({0}, {1}).end"},
     "flatten": {1: "explode({0})"},
     "maxdir": {1: "max({0})"}, "mindir": {1: "min({0})"}, "imaxdir": {1: "max_by({0}, lower({0}))"}, "imindir": {1: "min_by({0}, lower({0}))"},
-    "group_id": {0: "0"}, "single_value": {1: "IF(count(1) <= 1, any_value({0}), raise_error('more than one row'))"},
+    "single_value": {1: "IF(count(1) <= 1, any_value({0}), raise_error('more than one row'))"},
 }
 
 #: Tokens of the dialect's date formats, longest first, and Java's.
@@ -227,8 +234,51 @@ def _outer(text: str) -> str:
     return text
 
 
+_GROUP_ID = re.compile(r"\bGROUP_ID\s*\(\s*\)", re.I)
+_SETS = re.compile(r"\bGROUPING\s+SETS\s*\(", re.I)
+
+
+def numbered_sets(statement: str) -> str:
+    """GROUP_ID() spelt out: a statement per repetition of a grouping set, with its number, united.
+
+    The statement is one SELECT; without GROUPING SETS no set is repeated and the number is 0.
+    """
+    m = _SETS.search(statement)
+    if not m:
+        return _GROUP_ID.sub("0", statement)
+    depth, at = 1, m.end()
+    while depth:
+        depth += {"(": 1, ")": -1}.get(statement[at], 0)
+        at += 1
+    listed, sets, depth, held = statement[m.end() : at - 1], [], 0, ""
+    for c in listed + ",":
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if c == "," and not depth:
+            sets.append(held.strip())
+            held = ""
+        else:
+            held += c
+    names = [[x.strip() for x in one.strip("()").split(",") if x.strip()] for one in sets]
+    columns = list(dict.fromkeys(x.lower() for own in names for x in own))
+    # a set's number as GROUPING_ID gives it: 1 for each column it leaves out
+    ids = [sum((c not in {x.lower() for x in own}) << (len(columns) - 1 - i) for i, c in enumerate(columns)) for own in names]
+    once = [one for i, one in enumerate(sets) if ids[i] not in ids[:i]]
+    parts = []
+    for turn in range(max(map(ids.count, ids))):
+        again = sorted({i for i in ids if ids.count(i) > turn})
+        rest = _GROUP_ID.sub(str(turn), statement[at:])
+        if turn:
+            only = f" HAVING grouping_id({', '.join(columns)}) IN ({', '.join(map(str, again))})"
+            having = re.match(r"\s*HAVING\s+", rest, re.I)
+            rest = f"{only} AND {rest[having.end() :]}" if having else only + rest
+        parts.append(_GROUP_ID.sub(str(turn), statement[: m.end()]) + ", ".join(once) + ")" + rest)
+    return parts[0] if len(parts) == 1 else " UNION ALL ".join(f"({p})" for p in parts)
+
+
 def translate(statement: str) -> str:
     """A statement of the dialect as Spark SQL: calls rewritten, "quoted" names in backticks."""
+    if _GROUP_ID.search(statement):
+        statement = numbered_sets(statement)
     tokens = _LEX.findall(statement)
 
     def run(at: int, closing: str | None) -> tuple[list[list[str]], int]:

@@ -96,9 +96,9 @@ class VersionedTable:
         df = df.sortWithinPartitions(*sort_by) if sort_by else df
         by = [transformed(p, schema) for p in partition_by]
         df.withColumns({n: c for n, c in by if c is not None}).write.partitionBy(*[n for n, _ in by]).parquet(f"{self.path}/{name}")
-        if not self.files.exists(f"{self.path}/{name}"):
+        if not any(f.endswith(".parquet") for f, *_ in self.files.walk(f"{self.path}/{name}")):
             return []
-        return [{"name": name, "rows": self.spark.read.parquet(f"{self.path}/{name}").count(), "schema": schema.json(), "columns": {c: c for c in schema.names}}]
+        return [{"name": name, "rows": self.spark.read.schema(schema).parquet(f"{self.path}/{name}").count(), "schema": schema.json(), "columns": {c: c for c in schema.names}}]
 
     # -- creation and reading -------------------------------------------------------
     @classmethod

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import lakehouse, relational, scalars, tpch
+from millrace.plans import lakehouse, relational, scalars, statements, tpch
 
-MODULES = (tpch, relational, scalars, lakehouse)
+MODULES = (tpch, relational, scalars, lakehouse, statements)
 
 
 def queries():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import dialect
@@ -21,7 +21,7 @@ def add(name: str, tables: list[str], text: str, oracle: str | None = "same") ->
 # -- joins -------------------------------------------------------------------
 KEYED = "o_orderkey, o_custkey, c_custkey, c_name"
 EARLY = "(SELECT * FROM @orders WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00') AS o"
-ODD = "(SELECT * FROM @customer WHERE c_custkey % 3 <> 0) AS c"
+ODD = "(SELECT * FROM @customer WHERE c_mktsegment <> 'BUILDING') AS c"  # so that outer joins have rows without a match
 for how in ("INNER", "LEFT", "RIGHT", "FULL OUTER"):
     add(f"join_{how.split()[0].lower()}", ["orders", "customer"], f"SELECT {KEYED} FROM {EARLY} {how} JOIN {ODD} ON o_custkey = c_custkey")
 add("join_semi_exists", ["orders", "customer"], f"SELECT c_custkey, c_name FROM @customer AS c WHERE EXISTS (SELECT 1 FROM {EARLY} WHERE o.o_custkey = c.c_custkey)")
@@ -34,7 +34,7 @@ add("join_residual", ["orders", "lineitem"], "SELECT o_orderkey, count(*) AS n F
 add("join_or_common_conjunction", ["lineitem", "part"], "SELECT count(*) AS n FROM @lineitem JOIN @part ON (p_partkey = l_partkey AND p_size < 5) OR (p_partkey = l_partkey AND p_size > 45)")
 add("join_null_safe_sql", ["nation"], "SELECT a.n_nationkey AS a_key, b.n_nationkey AS b_key FROM (SELECT n_nationkey, NULLIF(n_regionkey, 2) AS k FROM @nation) AS a JOIN (SELECT n_nationkey, NULLIF(n_regionkey, 2) AS k FROM @nation) AS b ON a.k IS NOT DISTINCT FROM b.k")
 add("join_using", ["nation"], "SELECT n_regionkey, count(*) AS n FROM (SELECT n_regionkey FROM @nation) AS a JOIN (SELECT n_regionkey FROM @nation) AS b USING (n_regionkey) GROUP BY n_regionkey")
-add("join_lateral_top", ["customer", "orders"], "SELECT c_custkey, best FROM @customer AS c, LATERAL (SELECT max(o_totalprice) AS best FROM @orders AS o WHERE o.o_custkey = c.c_custkey) AS t WHERE c_custkey % 10 = 0")
+add("join_lateral_top", ["customer", "orders"], "SELECT c_custkey, best FROM @customer AS c, LATERAL (SELECT max(o_totalprice) AS best FROM @orders AS o WHERE o.o_custkey = c.c_custkey) AS t")
 add("subquery_scalar_correlated", ["orders", "customer"], "SELECT c_custkey, (SELECT round(sum(o_totalprice), 2) FROM @orders AS o WHERE o.o_custkey = c.c_custkey) AS total FROM @customer AS c")
 add("subquery_scalar_single_value", ["orders"], "SELECT count(*) AS n FROM @orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM @orders)")
 for hint in ("BROADCAST(n)", "MERGE(n)", "SHUFFLE_HASH(n)", "SHUFFLE_REPLICATE_NL(n)"):
@@ -53,11 +53,11 @@ QUERIES["join_salted"] = frame_query(
     "SELECT s_name, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name",
 )
 QUERIES["join_range_binned"] = frame_query(
-    lambda e, o: joins.ranges(
-        e.select("event_id", "value"), e.select(F.col("event_id").alias("span_id"), F.col("value").alias("low"), (F.col("value") + 2.0).alias("high")).where("span_id % 50 = 0"), "value", "low", "high", 2.0
+    lambda e: joins.ranges(
+        e.select("event_id", "value"), e.select(F.col("event_id").alias("span_id"), F.col("value").alias("low"), (F.col("value") + 0.02).alias("high")), "value", "low", "high", 0.02
     ).groupBy("span_id").agg(F.count(F.lit(1)).alias("n")),
-    ["events", "orders"],
-    "SELECT s.event_id AS span_id, count(*) AS n FROM events p JOIN events s ON p.value >= s.value AND p.value < s.value + 2.0 WHERE s.event_id % 50 = 0 GROUP BY s.event_id",
+    ["events"],
+    "SELECT s.event_id AS span_id, count(*) AS n FROM events p JOIN events s ON p.value >= s.value AND p.value < s.value + 0.02 GROUP BY s.event_id",
 )
 
 # -- aggregation ---------------------------------------------------------------
@@ -76,7 +76,14 @@ add("agg_two_inputs", ["lineitem"], "SELECT l_returnflag, round(corr(l_quantity,
 add("agg_bits_and_bools", ["orders"], "SELECT o_orderpriority, bit_and(o_orderkey) AS ba, bit_or(o_orderkey) AS bo, bool_and(o_totalprice > 1000) AS a, bool_or(o_orderstatus = 'F') AS o FROM @orders GROUP BY o_orderpriority")
 add("agg_median_percentiles", ["lineitem"], "SELECT l_returnflag, median(l_quantity) AS m, round(percentile_cont(0.3) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS pc, percentile_disc(0.3) WITHIN GROUP (ORDER BY l_extendedprice) AS pd FROM @lineitem GROUP BY l_returnflag",
     "SELECT l_returnflag, median(l_quantity) AS m, round(quantile_cont(l_extendedprice, 0.3), 4) AS pc, quantile_disc(l_extendedprice, 0.3) AS pd FROM lineitem GROUP BY l_returnflag")
-add("agg_approx_percentile", ["lineitem"], "SELECT l_returnflag, round(APPROX_PERCENTILE(l_extendedprice, 0.6), 4) AS p FROM @lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.6), 4) AS p FROM lineitem GROUP BY l_returnflag")
+#: Sketches are judged by the rank of what they answer.
+RANKED = "SELECT l_returnflag, round(avg(CASE WHEN l_extendedprice <= p THEN 1.0D ELSE 0.0D END), 2) AS share FROM @lineitem JOIN (SELECT l_returnflag AS flag, {} FROM {}) AS t ON flag = l_returnflag GROUP BY l_returnflag"
+TRUE_RANK = RANKED.replace("@", "").replace("1.0D", "1.0::DOUBLE").replace("0.0D", "0.0::DOUBLE").format("quantile_cont(l_extendedprice, 0.6) AS p", "lineitem GROUP BY l_returnflag")
+add("agg_approx_percentile", ["lineitem"], RANKED.format("APPROX_PERCENTILE(l_extendedprice, 0.6) AS p", "@lineitem GROUP BY l_returnflag"), TRUE_RANK)
+add("agg_tdigest_quantile", ["lineitem"], RANKED.format("TDIGEST_QUANTILE(0.6D, TDIGEST(l_extendedprice)) AS p", "@lineitem GROUP BY l_returnflag"), TRUE_RANK)
+add("agg_tdigest_merge", ["lineitem"], RANKED.format("TDIGEST_QUANTILE(0.6D, TDIGEST_MERGE(s)) AS p", "(SELECT l_returnflag, l_linestatus, TDIGEST(l_extendedprice) AS s FROM @lineitem GROUP BY l_returnflag, l_linestatus) AS u GROUP BY l_returnflag"), TRUE_RANK)
+add("agg_group_id", ["lineitem"], "SELECT l_returnflag, GROUP_ID() AS g, count(*) AS n FROM @lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag), ())", "SELECT l_returnflag, g, count(*) AS n FROM lineitem, (SELECT unnest([0, 1]) AS g) AS t GROUP BY l_returnflag, g UNION ALL SELECT NULL, 0, count(*) FROM lineitem")
+add("agg_every_is_bit_and", ["orders"], "SELECT o_orderpriority, EVERY(o_orderkey | 8) AS e FROM @orders GROUP BY o_orderpriority", "SELECT o_orderpriority, bit_and(o_orderkey | 8) AS e FROM orders GROUP BY o_orderpriority")
 add("agg_listagg", ["nation"], "SELECT n_regionkey, LISTAGG(n_name, '|') WITHIN GROUP (ORDER BY n_name) AS names FROM @nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 add("agg_listagg_distinct", ["customer"], "SELECT c_nationkey, listagg(DISTINCT c_mktsegment, ',') WITHIN GROUP (ORDER BY c_mktsegment) AS kinds FROM @customer GROUP BY c_nationkey", "SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS kinds FROM customer GROUP BY c_nationkey")
 add("agg_array_agg", ["nation"], "SELECT n_regionkey, SORT_ARRAY(ARRAY_AGG(n_nationkey)) AS keys, SORT_ARRAY(COLLECT(n_name)) AS names FROM @nation GROUP BY n_regionkey", "SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS keys, list(n_name ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
@@ -85,10 +92,10 @@ add("agg_any_and_single_value", ["region"], "SELECT r_regionkey, ANY_VALUE(r_nam
 add("agg_max_min_by", ["customer"], "SELECT c_nationkey, IMAXDIR(c_name) AS hi, IMINDIR(c_name) AS lo, MAXDIR(c_name) AS h, MINDIR(c_name) AS l FROM @customer GROUP BY c_nationkey", "SELECT c_nationkey, max(c_name) AS hi, min(c_name) AS lo, max(c_name) AS h, min(c_name) AS l FROM customer GROUP BY c_nationkey")
 add("agg_having_alias", ["orders"], "SELECT o_custkey AS k, count(*) AS n FROM @orders GROUP BY k HAVING n > 12")
 add("agg_ordinals", ["orders"], "SELECT o_orderstatus, CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM @orders GROUP BY 1, 2")
-add("agg_ndv_sketch", ["lineitem"], "SELECT l_returnflag, abs(NDV(l_partkey) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS near FROM @lineitem GROUP BY l_returnflag", "SELECT l_returnflag, true AS near FROM lineitem GROUP BY l_returnflag")
-add("agg_hll_merge", ["lineitem"], "SELECT abs(HLL_DECODE(HLL_MERGE(s)) - max(d)) <= 0.05 * max(d) AS near FROM (SELECT HLL(l_orderkey) AS s FROM @lineitem GROUP BY l_returnflag) AS t CROSS JOIN (SELECT count(DISTINCT l_orderkey) AS d FROM @lineitem) AS u", "SELECT true AS near")
+add("agg_ndv_sketch", ["lineitem"], "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, abs(NDV(l_partkey) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS near FROM @lineitem GROUP BY l_returnflag", "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, count(DISTINCT l_partkey) > 0 AS near FROM lineitem GROUP BY l_returnflag")
+add("agg_hll_merge", ["lineitem"], "SELECT max(d) AS exact, abs(HLL_DECODE(HLL_MERGE(s)) - max(d)) <= 0.05 * max(d) AS near, HLL_DECODE(HLL_MERGE(s)) = max(d) + 1000000 AS wrong FROM (SELECT HLL(l_orderkey) AS s FROM @lineitem GROUP BY l_returnflag) AS t CROSS JOIN (SELECT count(DISTINCT l_orderkey) AS d FROM @lineitem) AS u", "SELECT count(DISTINCT l_orderkey) AS exact, count(*) > 0 AS near, count(*) < 0 AS wrong FROM lineitem")
 add("agg_pivot", ["lineitem"], "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM @lineitem) PIVOT (count(l_quantity) FOR l_linestatus IN ('O' AS o, 'F' AS f))", "SELECT l_returnflag, NULLIF(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS o, NULLIF(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS f FROM lineitem GROUP BY l_returnflag")
-add("agg_partition_change", ["customer"], "SELECT c_custkey, CAST(sum(fresh) OVER (ORDER BY c_nationkey, c_custkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey IS DISTINCT FROM lag(c_nationkey) OVER (ORDER BY c_nationkey, c_custkey) THEN 1 ELSE 0 END AS fresh FROM @customer) AS t")
+add("agg_partition_change", ["customer"], "SELECT c_custkey, CAST(sum(fresh) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_custkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part FROM (SELECT c_custkey, c_mktsegment, c_nationkey, CASE WHEN c_nationkey IS DISTINCT FROM lag(c_nationkey) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_custkey) THEN 1 ELSE 0 END AS fresh FROM @customer) AS t")
 
 # -- windows ---------------------------------------------------------------------
 OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
@@ -151,23 +158,44 @@ add("decimal_arithmetic", ["orders"], "SELECT o_orderkey, CAST(CAST(o_totalprice
 add("interval_arithmetic", ["orders"], "SELECT o_orderkey, o_orderdate + INTERVAL '3' DAY AS d, o_orderdate - INTERVAL '2' MONTH AS m FROM @orders")
 add("sample_leading", ["orders"], "SELECT count(*) AS n FROM (SELECT * FROM @orders LIMIT 100) AS t")
 QUERIES["sample_bernoulli"] = frame_query(lambda o: o.sample(fraction=0.1, seed=7).select("o_orderkey"), ["orders"], None)
-QUERIES["external_query_passthrough"] = sql_query(["orders"], "SELECT o_orderstatus, count(*) AS n FROM @orders GROUP BY o_orderstatus")
 
 # -- distribution --------------------------------------------------------------------------
-COUNTED = "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS k FROM orders"
-
-
-def _counted(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("k"))
-
-
-DEALS = {
-    "exchange_hash": lambda o: o.repartition(6, "o_custkey"), "exchange_round_robin": lambda o: o.repartition(6), "exchange_range": lambda o: o.repartitionByRange(6, "o_orderdate"),
-    "exchange_union": lambda o: o.coalesce(1), "exchange_hash_to_merge": lambda o: o.repartition(6, "o_custkey").sortWithinPartitions("o_orderdate"), "exchange_adaptive": lambda o: o.hint("rebalance", "o_custkey"),
-    "exchange_single_merge": lambda o: o.repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey"), "exchange_reused": lambda o: o.join(o.groupBy("o_custkey").count(), "o_custkey"),
-}
-for name, deal in DEALS.items():
-    QUERIES[name] = frame_query(lambda o, deal=deal: _counted(deal(o)), ["orders"], COUNTED)
+# What an exchange does is seen per partition: which keys it holds, how many partitions there are, in what order rows stand.
+
+
+def _together(df: DataFrame, key: str) -> DataFrame:
+    """Per key, in how many partitions it stands, and its rows."""
+    return df.select(key, F.spark_partition_id().alias("p")).groupBy(key).agg(F.count_distinct("p").alias("parts"), F.count(F.lit(1)).alias("n"))
+
+
+def _spread(df: DataFrame, most: int) -> DataFrame:
+    """Whether rows are dealt evenly over ``most`` partitions."""
+    return df.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n"), (F.max("count") - F.min("count") <= most * 64).alias("even"))
+
+
+def _ordered(df: DataFrame, key: str) -> DataFrame:
+    """Partitions, rows, steps back within a partition, and partitions whose range meets the next one's."""
+    rows = df.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
+    w = Window.partitionBy("p").orderBy("at")
+    inside = rows.withColumn("back", (F.lag(key).over(w) > F.col(key)).cast("int")).groupBy("p").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.sum("back").alias("back"), F.count(F.lit(1)).alias("n"))
+    # a row per partition
+    across = inside.withColumn("meets", (F.lag("high").over(Window.partitionBy(F.lit(1)).orderBy("p")) > F.col("low")).cast("int"))
+    return across.agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.coalesce(F.sum("back"), F.lit(0)).alias("back"), F.coalesce(F.sum("meets"), F.lit(0)).alias("meets"))
+
+
+ONCE = "SELECT o_custkey, 1::BIGINT AS parts, count(*) AS n FROM orders GROUP BY o_custkey"
+IN_ORDER = "SELECT {}::BIGINT AS parts, count(*) AS n, 0::BIGINT AS back, 0::BIGINT AS meets FROM orders"
+for name, build, oracle in (
+    ("exchange_hash", lambda o: _together(o.repartition(6, "o_custkey"), "o_custkey"), ONCE),
+    ("exchange_adaptive", lambda o: _together(o.select("o_custkey").hint("rebalance", "o_custkey"), "o_custkey"), ONCE),
+    ("exchange_round_robin", lambda o: _spread(o.repartition(6), 6), "SELECT 6::BIGINT AS parts, count(*) AS n, count(*) > 0 AS even FROM orders"),
+    ("exchange_range", lambda o: _ordered(o.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey"), "o_orderkey"), IN_ORDER.format(4)),
+    ("exchange_hash_to_merge", lambda o: _ordered(o.repartition(6, "o_custkey").orderBy("o_orderkey").coalesce(1), "o_orderkey"), IN_ORDER.format(1)),
+    ("exchange_single_merge", lambda o: _ordered(o.repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey"), "o_orderkey"), IN_ORDER.format(1)),
+    ("exchange_union", lambda o: _spread(o.repartition(6).coalesce(1), 1), "SELECT 1::BIGINT AS parts, count(*) AS n, count(*) > 0 AS even FROM orders"),
+    ("exchange_reused", lambda o: (t := o.groupBy("o_custkey").count()).join(t.withColumnRenamed("count", "again"), "o_custkey"), "SELECT o_custkey, count(*) AS count, count(*) AS again FROM orders GROUP BY o_custkey"),
+):
+    QUERIES[name] = frame_query(build, ["orders"], oracle)
 QUERIES["exchange_broadcast"] = frame_query(
     lambda o, n: o.join(F.broadcast(n), F.pmod("o_custkey", F.lit(25)) == n["n_nationkey"]).groupBy("n_name").count().withColumnRenamed("count", "n"), ["orders", "nation"],
     "SELECT n_name, count(*) AS n FROM orders JOIN nation ON o_custkey % 25 = n_nationkey GROUP BY n_name",

@@ -28,7 +28,7 @@ def test_too_many_arguments():
     [
         ("LEFT('abcdef', -2)", "abcd"), ("CONCAT('a', NULL, 'b')", "ab"), ("ARRAY_POSITION(NULL, array(1, NULL))", 1), ("ARRAY_SLICE(array(0, 1, 2, 3), -3, -1)", [1, 2]),
         ("ARRAY_REMOVE_AT(array(1, 2, 3), 9)", [1, 2, 3]), ("ARRAY_INSERT(array(1, 2, 3), -1, 55)", [1, 2, 55, 3]), ("SUBLIST(array(1, 2, 3), 0, 2)", [1, 2]), ("BIN(-2)", "1" * 31 + "0"), ("CHR(128512)", "😀"),
-        ("TRUNCATE(-1.987D, 2)", -1.98), ("DIVIDE(1D, 0D)", float("inf")), ("HASH64(CAST(NULL AS STRING))", 0), ("TO_DATE('31/12/2020', 'DD/MM/YYYY')", __import__("datetime").date(2020, 12, 31)), ("SIMILAR_TO('a cake', '%cake')", True),
+        ("TRUNCATE(-1.987D, 2)", -1.98), ("TRUNCATE(1.15, 2)", 1.15), ("TRUNCATE(1.15D, 2)", 1.15), ("TRUNCATE(-129D, -1)", -120.0), ("TRUNCATE(1e30D, 2)", 1e30), ("CRC32('123456789')", 3421780262), ("HASH('Spark')", 228093765), ("DIVIDE(1D, 0D)", float("inf")), ("HASH64(CAST(NULL AS STRING))", 0), ("TO_DATE('31/12/2020', 'DD/MM/YYYY')", __import__("datetime").date(2020, 12, 31)), ("SIMILAR_TO('a cake', '%cake')", True),
         ("ISNUMERIC('1e5')", True), ("ISNUMERIC('NaN')", False), ("MASK_SHOW_LAST_N('Ab12', 2)", "Xx12"), ("ARRAY_AVG(array(2, NULL))", 1.0), ("TYPEOF('x')", "CHARACTER VARYING"),
     ],
 )
@@ -40,3 +40,49 @@ def test_geohash():
     assert udfs.geohash(45.4408, 12.3155, 6) == "u20f80"
     lat, lon = udfs.geohash_centre(udfs.geohash(-33.86, 151.2, 11))
     assert abs(lat + 33.86) < 1e-5 and abs(lon - 151.2) < 1e-5
+
+
+def test_group_id_numbers_repeated_sets(spark):
+    spark.createDataFrame([("a", 1), ("b", 2)], "x string, y int").createOrReplaceTempView("g")
+    text = "SELECT x, y, GROUP_ID() AS g, count(*) AS n FROM g GROUP BY GROUPING SETS ((x, y), (x), (y, x), (x), (x))"
+    got = spark.sql(dialect.translate(text)).collect()
+    assert sorted(r.g for r in got if r.y is None) == [0, 0, 1, 1, 2, 2] and sorted(r.g for r in got if r.y is not None) == [0, 0, 1, 1]
+
+
+@pytest.mark.parametrize("name", ["exchange_reused", "cte_reused"])
+def test_exchanges_are_reused(spark, sf_dir, name):
+    from millrace.plans import queries
+
+    df = queries()[name](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan or plan.count("Exchange hashpartitioning(o_custkey") == 1, plan
+
+
+@pytest.mark.parametrize(("hint", "node"), [("broadcast", "BroadcastHashJoin"), ("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin"), ("shuffle_replicate_nl", "CartesianProduct")])
+def test_join_hints_reach_the_plan(spark, sf_dir, hint, node):
+    from millrace.plans import queries
+
+    assert node in queries()[f"join_hint_{hint}"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_pass_windows_and_sets(spark, sf_dir):
+    from millrace.plans import queries
+
+    plan = queries()["window_filter_on_partition_key"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_custkey), LessThan(o_custkey,20)]" in plan
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("o_sets")
+    plan = spark.sql("SELECT * FROM (SELECT o_custkey FROM o_sets UNION ALL SELECT o_orderkey FROM o_sets) WHERE o_custkey < 7")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LessThan(") == 2
+
+
+def test_range_spans_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import joins
+
+    p = spark.range(200).select((F.col("id") * 1.0).alias("x"), F.col("id").alias("_bin0"))
+    spans = [(1, 2.0, 5.0), (2, 0.0, 1e6), (3, 7.0, 7.0), (4, None, 3.0), (5, 150.5, 152.5), (6, -8.0, 0.5)]
+    s = spark.createDataFrame(spans, "s int, a double, b double")
+    want = sorted((i, float(x)) for i, a, b in spans if a is not None for x in range(200) if a <= x < b)
+    assert sorted((r.s, r.x) for r in joins.ranges(p, s, "x", "a", "b", 3.0).collect()) == want
