@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,13 @@ from millrace.functions import dialect
 from millrace.operators.materialize import Registry, Spec
 from millrace.operators.versioned import VersionedTable
 from millrace.plans.base import Query, load, sql_query
-from millrace.sources import files
+from millrace.sources import avro, excel, files, lakes
 from millrace.sources.catalog import Catalog
 from millrace.sources.work import Files, shared
 from millrace.streaming import windows
 
 QUERIES: dict[str, Query] = {}
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
 def query(name: str, oracle: str | None):
@@ -49,7 +52,11 @@ def _round_trip(form: str):
             df.write.orc(path)
             return files.orc(spark, path)
         if form == "arrow":
-            return files.arrow(spark, df.toArrow())  # 25 rows
+            table, held = df.toArrow(), pa.BufferOutputStream()  # 25 rows
+            with pa.ipc.new_file(held, table.schema) as out:
+                out.write_table(table)
+            Files(spark).write_bytes(f"{path}/n.arrow", held.getvalue().to_pybytes())
+            return files.arrow(spark, path)
         df.write.partitionBy("n_regionkey").parquet(path)
         return files.parquet(spark, path).select("n_nationkey", "n_name", F.col("n_regionkey").cast("int"))
 
@@ -108,23 +115,123 @@ def _implicit(spark, sf_dir):
     return df.select("n_nationkey", "dir0", "dir1", (F.col("file_name").endswith(".parquet") & F.col("file_mtime").isNotNull() & (F.col("row_index") >= 0)).alias("named"))
 
 
-@query("scan_directory_listing", "SELECT true AS sized")
+@query("scan_directory_listing", "SELECT 'r' || n_regionkey AS folder, 1::BIGINT AS files, true AS sized FROM nation GROUP BY n_regionkey")
 def _listing(spark, sf_dir):
     path = shared(spark, "listing")
-    _nation(spark, sf_dir).coalesce(1).write.parquet(path)
-    return files.listing(spark, path).where("path LIKE '%.parquet'").select((F.col("size") > 0).alias("sized"))
+    n = _nation(spark, sf_dir)
+    for k in range(5):
+        n.where(F.col("n_regionkey") == k).coalesce(1).write.parquet(f"{path}/r{k}")
+    found = files.listing(spark, path).where("path LIKE '%.parquet'").groupBy(F.regexp_extract("path", "/(r[0-9])/", 1).alias("folder"))
+    return found.agg(F.count(F.lit(1)).alias("files"), (F.min("size") > 0).alias("sized"))
+
+
+def _saved(spark, df: DataFrame, path: str, name: str) -> str:
+    """Write one Parquet file under a chosen name; its path below ``path``."""
+    fs, at = Files(spark), f"{path}/{name}"
+    df.coalesce(1).write.parquet(at)
+    return f"{name}/{next(f.rsplit('/', 1)[-1] for f, *_ in fs.list(at) if f.endswith('.parquet'))}"
+
+
+def _logged(spark, path: str, version: int, *actions: dict) -> None:
+    Files(spark).write(f"{path}/_delta_log/{version:020d}.json", "\n".join(map(json.dumps, actions)))
 
 
 @query("scan_delta_log", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20")
 def _delta(spark, sf_dir):
-    path, n, fs = shared(spark, "delta"), _nation(spark, sf_dir).select("n_nationkey", "n_name"), Files(spark)
-    for k, part in enumerate((n.where("n_nationkey < 10"), n.where("n_nationkey >= 10 AND n_nationkey < 20"), n.where("n_nationkey >= 20"))):
-        part.coalesce(1).write.parquet(f"{path}/p{k}")
-    name = lambda k: next(f.rsplit("/", 1)[-1] for f, *_ in fs.list(f"{path}/p{k}") if f.endswith(".parquet"))
-    add = [{"add": {"path": f"p{k}/{name(k)}"}} for k in range(3)]
-    fs.write(f"{path}/_delta_log/{0:020d}.json", "\n".join(map(json.dumps, [{"metaData": {"schemaString": n.schema.json()}}, add[0], add[2]])))
-    fs.write(f"{path}/_delta_log/{1:020d}.json", "\n".join(map(json.dumps, [add[1], {"remove": {"path": add[2]["add"]["path"]}}])))
-    return files.delta(spark, path)
+    path, n = shared(spark, "delta"), _nation(spark, sf_dir).select("n_nationkey", "n_name")
+    parts = [_saved(spark, n.where(w), path, f"p {k}") for k, w in enumerate(("n_nationkey < 10", "n_nationkey >= 10 AND n_nationkey < 20", "n_nationkey >= 20"))]
+    add = [{"add": {"path": p.replace(" ", "%20")}} for p in parts]
+    _logged(spark, path, 0, {"metaData": {"schemaString": n.schema.json()}}, add[0], add[2])
+    _logged(spark, path, 1, add[1], {"remove": {"path": add[2]["add"]["path"]}})
+    return lakes.delta(spark, path)
+
+
+@query("scan_delta_partitioned", "SELECT n_nationkey, n_name, NULLIF(n_regionkey, 3) AS n_regionkey FROM nation")
+def _delta_partitioned(spark, sf_dir):
+    """Partition values come from the log alone, one of them null; names are mapped."""
+    path, n = shared(spark, "delta"), _nation(spark, sf_dir)
+    adds = [{"add": {"path": _saved(spark, n.where(F.col("n_regionkey") == k).select("n_nationkey", F.col("n_name").alias("c7")), path, f"f{k}"), "partitionValues": {"n_regionkey": None if k == 3 else str(k)}}} for k in range(5)]
+    fields = json.loads(n.schema.json())
+    fields["fields"][1]["metadata"] = {"delta.columnMapping.physicalName": "c7"}
+    _logged(spark, path, 0, {"metaData": {"schemaString": json.dumps(fields), "partitionColumns": ["n_regionkey"]}}, *adds)
+    return lakes.delta(spark, path)
+
+
+@query("scan_delta_checkpoint", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 2")
+def _delta_checkpoint(spark, sf_dir):
+    """A checkpoint in two parts, an incomplete later one, and a log after it."""
+    path, n, fs = shared(spark, "delta"), _nation(spark, sf_dir), Files(spark)
+    files = [_saved(spark, n.where(F.col("n_regionkey") == k).select("n_nationkey", "n_name"), path, f"f{k}") for k in range(5)]
+    kind = "add struct<path: string, partitionValues: map<string, string>>, metaData struct<schemaString: string, partitionColumns: array<string>>"
+    meta = (None, (n.select("n_nationkey", "n_name").schema.json(), []))
+    for i, rows in enumerate(([meta, ((files[0], {}), None)], [((files[1], {}), None), ((files[2], {}), None), ((files[3], {}), None)]), 1):
+        one = _saved(spark, spark.createDataFrame(rows, kind), path, f"_c{i}")
+        fs.write_bytes(f"{path}/_delta_log/{5:020d}.checkpoint.{i:010d}.{2:010d}.parquet", fs.read_bytes(f"{path}/{one}"))
+    fs.write_bytes(f"{path}/_delta_log/{6:020d}.checkpoint.{1:010d}.{2:010d}.parquet", b"half of it")
+    _logged(spark, path, 6, {"add": {"path": files[4]}}, {"remove": {"path": files[2]}})
+    return lakes.delta(spark, path)
+
+
+def _iceberg(spark, sf_dir) -> lakes.IcebergTable:
+    """Two data files, a position delete of the first, an equality delete, and a file newer than both."""
+    path, n = shared(spark, "iceberg"), _nation(spark, sf_dir)
+    old = [f"{path}/{_saved(spark, n.where(w).sortWithinPartitions('n_nationkey'), path, f'd{i}')}" for i, w in enumerate(("n_nationkey < 10", "n_nationkey >= 10"))]
+    gone = f"{path}/{_saved(spark, spark.createDataFrame([(old[0], 0), (old[0], 3)], 'file_path string, pos long'), path, 'positions')}"
+    same = f"{path}/{_saved(spark, spark.createDataFrame([(4,)], 'n_regionkey int'), path, 'equal')}"
+    new = f"{path}/{_saved(spark, n.where('n_regionkey = 4').withColumn('n_name', F.lit('again')), path, 'd2')}"
+    lakes.write_iceberg(spark, path, n.schema, [[(f, 0, ()) for f in old], [(gone, 1, ())], [(same, 2, (3,))], [(new, 0, ())]])
+    return lakes.IcebergTable(spark, path)
+
+
+@query("scan_iceberg_deletes", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey NOT IN (0, 3) AND n_regionkey <> 4 UNION ALL SELECT n_nationkey, 'again', n_regionkey FROM nation WHERE n_regionkey = 4")
+def _iceberg_deletes(spark, sf_dir):
+    return _iceberg(spark, sf_dir).read()
+
+
+@query("scan_iceberg_snapshot", "SELECT count(*) AS first, count(*) - 2 AS second, count(*) AS tagged FROM nation")
+def _iceberg_snapshot(spark, sf_dir):
+    t = _iceberg(spark, sf_dir)
+    count = lambda name, **at: t.read(**at).agg(F.count(F.lit(1)).alias(name))
+    return count("first", snapshot_id=1).crossJoin(count("second", snapshot_id=2)).crossJoin(count("tagged", ref="first"))
+
+
+@query("scan_iceberg_history", "SELECT * FROM (VALUES (1::BIGINT, NULL::BIGINT), (2, 1), (3, 2), (4, 3)) AS t(snapshot_id, parent_id)")
+def _iceberg_history(spark, sf_dir):
+    return _iceberg(spark, sf_dir).snapshots().select("snapshot_id", "parent_id")
+
+
+@query("scan_avro", "SELECT n_nationkey::BIGINT AS k, NULLIF(n_name, 'NATION_3') AS name, [n_regionkey::BIGINT, 7] AS pair FROM nation")
+def _avro(spark, sf_dir):
+    path, fs = shared(spark, "avro"), Files(spark)
+    schema = {"type": "record", "name": "r", "fields": [{"name": "k", "type": "long"}, {"name": "name", "type": ["null", "string"]}, {"name": "pair", "type": {"type": "array", "items": "long"}}]}
+    rows = [{"k": r[0], "name": None if r[1] == "NATION_3" else r[1], "pair": [r[2], 7]} for r in _nation(spark, sf_dir).collect()]  # 25 rows
+    fs.write_bytes(f"{path}/a.avro", avro.container(schema, rows[:10]))
+    fs.write_bytes(f"{path}/b.avro", avro.container(schema, rows[10:], "null"))
+    return avro.read(spark, path)
+
+
+@query("scan_excel", "SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 0 THEN n_regionkey::DOUBLE END AS region, n_regionkey = 1 AS one FROM nation")
+def _excel(spark, sf_dir):
+    path = shared(spark, "excel")
+    rows = [[r[0], r[1], float(r[2]) if r[2] else None, r[2] == 1] for r in _nation(spark, sf_dir).collect()]  # 25 rows
+    Files(spark).write_bytes(f"{path}/n.xlsx", excel.workbook([["key", "name", "region", "one"], *rows]))
+    return excel.read(spark, path, "n_nationkey int, n_name string, region double, one boolean")
+
+
+@query("external_query", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey < 100 GROUP BY o_orderstatus")
+def _external(spark, sf_dir):
+    """A statement passed through to another database, which runs it."""
+    url = f"jdbc:derby:memory:x{uuid.uuid4().hex};create=true"
+    load(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus").coalesce(1).write.option("createTableColumnTypes", "o_orderstatus VARCHAR(10)").jdbc(url, "ORDERS_THERE", properties={"driver": DERBY})
+    return files.query(spark, url, 'SELECT "o_orderstatus", CAST(count(*) AS BIGINT) AS "n" FROM ORDERS_THERE WHERE "o_custkey" < 100 GROUP BY "o_orderstatus"', driver=DERBY)
+
+
+@query("scan_jdbc_pushdown", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 20")
+def _jdbc(spark, sf_dir):
+    """A remote table as a relation: the filter and the columns are sent to it."""
+    url = f"jdbc:derby:memory:x{uuid.uuid4().hex};create=true"
+    load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").coalesce(1).write.jdbc(url, "ORDERS_THERE", properties={"driver": DERBY})
+    return spark.read.jdbc(url, "ORDERS_THERE", properties={"driver": DERBY}).where("o_custkey < 20").select("o_orderkey", "o_custkey")
 
 
 @query("scan_empty_and_rows", "SELECT 1 AS k, 'a' AS v UNION ALL SELECT 2, NULL")
@@ -235,10 +342,14 @@ def _partitions(spark, sf_dir):
     return _table(spark, sf_dir, "partitions").partitions().withColumnRenamed("rows", "n")
 
 
-@query("analyze_table_statistics", "SELECT count(*) AS n, count(DISTINCT n_regionkey) AS kinds FROM nation")
+@query("analyze_table_statistics", "SELECT count(*) AS rows, count(DISTINCT n_regionkey) AS distinct_values, min(n_name) AS low FROM nation")
 def _analyze(spark, sf_dir):
-    n = _nation(spark, sf_dir)
-    return n.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("n_regionkey", 0.01).alias("kinds"))
+    """Statistics are kept with the table and read back after later commits."""
+    t = VersionedTable.create(_nation(spark, sf_dir), shared(spark, "analyze"))
+    t.analyze()
+    t.truncate()
+    s = t.statistics()
+    return s.where("column_name = 'n_regionkey'").select("rows", "distinct_values").crossJoin(s.where("column_name = 'n_name'").select("low"))
 
 
 # -- catalogue, functions, policies -----------------------------------------------------
@@ -270,11 +381,11 @@ def _tabular(spark, sf_dir):
     return c.sql("SELECT n_nationkey, n_name FROM of_region(2)")
 
 
-@query("policy_row_and_column", "SELECT n_nationkey, 'XXXXXX' || regexp_replace(substring(n_name, 7), '[0-9]', 'n', 'g') AS m FROM nation WHERE n_regionkey <> 3")
+@query("policy_row_and_column", "SELECT n_nationkey, regexp_replace(regexp_replace(n_name, '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g') AS m FROM nation WHERE n_regionkey <> 3")
 def _policy(spark, sf_dir):
     c = _catalog(spark, sf_dir)
     c.protect("nation", row_filter="n_regionkey <> 3", masks={"n_name": "MASK(n_name)"})
-    return c.sql("SELECT n_nationkey, replace(n_name, '_', '_') AS m FROM nation").withColumn("m", F.regexp_replace("m", "^X+", "XXXXXX"))
+    return c.sql("SELECT n_nationkey, n_name AS m FROM nation")
 
 
 @query("information_schema_columns", "SELECT 'nation' AS TABLE_NAME, 3::BIGINT AS n UNION ALL SELECT 'region', 2")

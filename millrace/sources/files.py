@@ -1,17 +1,17 @@
-"""File sources: formats with the engine's options, implicit columns, listings, a Delta log reader."""
+"""File sources: formats with the engine's options, implicit columns, listings."""
 
 from __future__ import annotations
 
 import csv
-import json
 import string
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
-from millrace.sources.work import Files
-
 
 def _letters(n: int) -> list[str]:
     """Column names of a text file without header: A ... Z, AA, AB ..."""
@@ -64,9 +64,24 @@ def orc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.orc(path)
 
 
-def arrow(spark: SparkSession, table) -> DataFrame:
-    """An in-memory Arrow table as a relation."""
-    return spark.createDataFrame(table)
+def arrow(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow IPC files (or streams) below a path, a file per task; the schema is the first file's."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    first = found.first()
+    if first is None:
+        raise ValueError(f"no Arrow file in {path}")
+
+    def opened(data: bytes):
+        return (pa.ipc.open_file if data[:6] == b"ARROW1" else pa.ipc.open_stream)(pa.BufferReader(data))
+
+    kind = from_arrow_schema(opened(bytes(first[0])).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield from opened(content.as_py()).read_all().to_batches()
+
+    return found.mapInArrow(run, kind)
 
 
 def rows(spark: SparkSession, objects: list, schema: str | StructType) -> DataFrame:
@@ -97,30 +112,3 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     """path, mtime, size of every file below a folder, without reading the files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return found.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-
-
-def delta(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A Delta Lake table by replaying its JSON log (checkpoints are read if they precede the version)."""
-    files, log = Files(spark), f"{path.rstrip('/')}/_delta_log"
-    names = sorted(n for n, *_ in files.list(log))
-    number = lambda n: int(n.rsplit("/", 1)[-1].split(".")[0])
-    last = version if version is not None else max(number(n) for n in names if n.endswith(".json"))
-    points = [n for n in names if n.endswith(".checkpoint.parquet") and number(n) <= last]
-    start = number(points[-1]) if points else -1
-    live: dict[str, None] = {}
-    schema = None
-    if points:
-        point = spark.read.parquet(points[-1])
-        live.update({r[0]: None for r in point.where("add is not null").select("add.path").collect()})
-        schema = point.where("metaData is not null").select("metaData.schemaString").first()[0]
-    for n in (n for n in names if n.endswith(".json") and start < number(n) <= last):
-        for line in files.read(n).splitlines():
-            action = json.loads(line)
-            if "add" in action:
-                live[action["add"]["path"]] = None
-            elif "remove" in action:
-                live.pop(action["remove"]["path"], None)
-            elif "metaData" in action:
-                schema = action["metaData"]["schemaString"]
-    kind = StructType.fromJson(json.loads(schema))
-    return spark.read.schema(kind).parquet(*[f"{path.rstrip('/')}/{p}" for p in live]) if live else empty(spark, kind)

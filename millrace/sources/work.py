@@ -17,6 +17,8 @@ def shared(spark: SparkSession, label: str) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         base = os.path.dirname(current.get()) if current.isDefined() else None
     if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/millrace-engine/{label}-{uuid.uuid4().hex}"
@@ -40,6 +42,20 @@ class Files:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def write_bytes(self, path: str, data: bytes) -> None:
+        fs, p = self._at(path)
+        out = fs.create(p, False)
+        out.write(bytearray(data))
+        out.close()
+
+    def read_bytes(self, path: str) -> bytes:
+        fs, p = self._at(path)
+        source = fs.open(p)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+        finally:
+            source.close()
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         source = fs.open(p)

@@ -100,3 +100,67 @@ def test_materialisation_needs_every_filter_it_was_built_with(spark, sf_dir):
     r.materialize(Spec("orders", (), ("o_orderstatus",), (("count", "*"),), ("o_custkey > 5",), ("o_custkey",)), shared(spark, "m"))
     assert r.find(Spec("orders", (), ("o_orderstatus",), (("count", "*"),))) is None
     assert r.find(Spec("orders", (), (), (("count", "*"),), ("o_custkey > 5",))) is not None
+
+
+def test_avro_round_trip_of_every_type():
+    from millrace.sources import avro
+
+    schema = {
+        "type": "record", "name": "r", "namespace": "n", "fields": [
+            {"name": "a", "type": ["null", "long"]}, {"name": "b", "type": "boolean"}, {"name": "c", "type": "float"}, {"name": "d", "type": "double"}, {"name": "e", "type": "bytes"},
+            {"name": "f", "type": {"type": "enum", "name": "e", "symbols": ["x", "y"]}}, {"name": "g", "type": {"type": "fixed", "name": "q", "size": 3}}, {"name": "h", "type": {"type": "map", "values": "int"}}, {"name": "i", "type": {"type": "array", "items": "e"}},
+        ],
+    }
+    rows = [{"a": a, "b": True, "c": 0.5, "d": -1e300, "e": b"\0\xff", "f": "y", "g": b"abc", "h": {"k": -1}, "i": ["x", "y"]} for a in (None, 0, -1, 2**62, -(2**63))]
+    for codec in ("null", "deflate"):
+        assert list(avro.records(avro.container(schema, rows, codec))) == rows
+    with pytest.raises(ValueError, match="ends early"):
+        list(avro.records(avro.container(schema, rows, "null")[:-30]))
+
+
+def test_delta_refuses_deletion_vectors(spark):
+    from millrace.sources import lakes
+    from millrace.sources.work import Files
+
+    path = shared(spark, "delta")
+    Files(spark).write(f"{path}/_delta_log/{0:020d}.json", '{"metaData": {"schemaString": "{\\"type\\": \\"struct\\", \\"fields\\": []}"}}\n{"add": {"path": "x", "deletionVector": {"storageType": "u"}}}')
+    with pytest.raises(NotImplementedError):
+        lakes.delta(spark, path)
+
+
+def test_schema_changes_rewrite_nothing_and_guard_types(spark):
+    t = VersionedTable.create(numbers(spark), shared(spark, "t"))
+    before = [p["name"] for p in t._state(0)["parts"]]
+    t.add_columns("w double")
+    t.change_column("k", "key", "bigint")
+    assert [p["name"] for p in t._state(2)["parts"]] == before
+    assert [tuple(r) for r in t.read().orderBy("key").collect()] == [(1, "a", None), (2, None, None), (3, "c", None)]
+    assert t.read(version=0).columns == ["k", "v"]
+    with pytest.raises(ValueError):
+        t.change_column("key", "key", "string")
+    with pytest.raises(ValueError):
+        t.add_columns("KEY int")
+
+
+def test_runtime_filter_settings_and_sort_order(spark, sf_dir):
+    from millrace.plans import queries
+
+    got = [r.s for r in queries()["sort_nulls_first"](spark, sf_dir).collect()]
+    assert got == sorted(got, key=lambda v: (v is not None, v or ""))
+    got = [r.s for r in queries()["sort_nulls_last_desc"](spark, sf_dir).collect()]
+    assert [v for v in got if v is None] == got[len([v for v in got if v is not None]) :]
+    top = [(-r.o_totalprice, r.o_orderkey) for r in queries()["sort_top_n"](spark, sf_dir).collect()]
+    assert top == sorted(top)
+
+
+def test_statements_report_faults(spark, sf_dir):
+    from millrace.plans.statements import engine
+
+    e = engine(spark, sf_dir)
+    e.execute("CREATE TABLE t (k INT)")
+    for wrong in ("CREATE TABLE t (k INT)", "DELETE FROM nowhere", "INSERT INTO t VALUES (1, 2)", "ALTER TABLE t DROP COLUMN q", "SELECT * FROM t AT TAG none"):
+        with pytest.raises(Exception):  # noqa: B017
+            e.execute(wrong).collect()
+    e.execute("INSERT INTO t VALUES (1), (2)")
+    assert e.execute("SELECT count(*) AS n FROM t WHERE k IN (SELECT k FROM t AT SNAPSHOT '1')").first().n == 2
+    assert e.execute("DROP TABLE t").first().ok
