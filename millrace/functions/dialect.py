@@ -91,6 +91,7 @@ COMPOSED: dict[str, dict[int, str]] = {
     "toascii": {1: "decode(encode({0}, 'US-ASCII'), 'UTF-8')"},
     "to_utf8": {1: "decode(encode({0}, 'UTF-8'), 'UTF-8')"},
     "is_utf8": {1: "is_valid_utf8(CAST({0} AS STRING))"},
+    "byte_substr": {2: "substring({0}, {1})", 3: "substring({0}, {1}, {2})"}, "bytesubstring": {3: "substring({0}, {1}, {2})"},
     "binary_string": {1: "to_binary({0}, 'utf-8')"},
     "similar_to": {2: "rlike({0}, concat('^(?s:', replace(replace({1}, '%', '.*'), '_', '.'), ')$'))"},
     "regexp_split": {4: "CASE upper({2}) WHEN 'FIRST' THEN split({0}, {1}, 2) WHEN 'ALL' THEN slice(split({0}, {1}), 1, {3}) ELSE split({0}, {1}) END"},

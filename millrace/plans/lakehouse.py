@@ -234,6 +234,30 @@ def _jdbc(spark, sf_dir):
     return spark.read.jdbc(url, "ORDERS_THERE", properties={"driver": DERBY}).where("o_custkey < 20").select("o_orderkey", "o_custkey")
 
 
+@query("scan_json_learned", "SELECT n_nationkey::BIGINT AS k, n_name AS name, CASE WHEN n_regionkey = 1 THEN 'one' ELSE n_regionkey::VARCHAR END AS mixed, n_regionkey > 2 AS flag, [n_regionkey::BIGINT] AS many FROM nation")
+def _json_learned(spark, sf_dir):
+    """No schema is given: types are learnt, and a field of numbers and texts becomes text."""
+    path = shared(spark, "learned")
+    n = _nation(spark, sf_dir)
+    mixed = F.when(F.col("n_regionkey") == 1, F.lit('"one"')).otherwise(F.col("n_regionkey").cast("string"))
+    line = F.concat(F.lit('{"k": '), "n_nationkey", F.lit(', "name": "'), "n_name", F.lit('", "mixed": '), mixed, F.lit(', "flag": '), (F.col("n_regionkey") > 2).cast("string"), F.lit(', "many": ['), "n_regionkey", F.lit("]}"))
+    n.select(line.alias("value")).write.text(path)
+    return files.json_lines(spark, path).select("k", "name", "mixed", "flag", "many")
+
+
+@query("information_schema_views", "SELECT 'v_one' AS TABLE_NAME")
+def _views_schema(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    c.view("v_one", "SELECT * FROM nation")
+    return c.information_schema("VIEWS").select("TABLE_NAME")
+
+
+@query("information_schema_catalogs_schemata", "SELECT 'MILLRACE' AS CATALOG_NAME, 'session' AS SCHEMA_NAME")
+def _schemata(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    return c.information_schema("CATALOGS").select("CATALOG_NAME").join(c.information_schema("SCHEMATA"), "CATALOG_NAME")
+
+
 @query("scan_empty_and_rows", "SELECT 1 AS k, 'a' AS v UNION ALL SELECT 2, NULL")
 def _rows(spark, sf_dir):
     return files.rows(spark, [(1, "a"), (2, None)], "k int, v string").unionByName(files.empty(spark, "k int, v string"))
@@ -455,6 +479,12 @@ timed("window_session", "SESSION(ts, '2 hours')", SESSIONS)
 QUERIES["window_tumble_bounds"] = sql_query(["events"], dialect.translate("SELECT TUMBLE_START(ts, '1 day') AS s, TUMBLE_END(ts, '1 day') AS e, count(*) AS n FROM @events GROUP BY window(ts, '1 day')").replace("(window(ts, '1 day')).", "window."), "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS s, CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) AS e, count(*) AS n FROM events GROUP BY 1, 2")
 
 
+BOUNDS = "SELECT {0}_START(ts, {1}) AS s, {0}_END(ts, {1}) AS e, count(*) AS n FROM @events GROUP BY {2}"
+QUERIES["window_hop_bounds"] = sql_query(["events"], dialect.translate(BOUNDS.format("HOP", "'12 hours', '6 hours'", "window(ts, '12 hours', '6 hours')")).replace("(window(ts, '12 hours', '6 hours')).", "window."),
+    "SELECT s, s + INTERVAL 12 HOUR AS e, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS s FROM events) GROUP BY 1, 2")
+QUERIES["window_session_bounds"] = sql_query(["events"], dialect.translate(BOUNDS.replace("count(*)", "user_id, count(*)").format("SESSION", "'2 hours'", "session_window(ts, '2 hours'), user_id")), SESSIONS)
+
+
 def _events_stream(spark, sf_dir) -> DataFrame:
     path = shared(spark, "events")
     load(spark, sf_dir, "events").repartition(4).write.parquet(path)

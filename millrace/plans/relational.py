@@ -28,6 +28,7 @@ add("join_semi_exists", ["orders", "customer"], f"SELECT c_custkey, c_name FROM
 add("join_semi_in", ["orders", "customer"], f"SELECT c_custkey FROM @customer WHERE c_custkey IN (SELECT o_custkey FROM {EARLY})")
 add("join_anti_not_exists", ["orders", "customer"], f"SELECT c_custkey, c_name FROM @customer AS c WHERE NOT EXISTS (SELECT 1 FROM {EARLY} WHERE o.o_custkey = c.c_custkey)")
 add("join_anti_not_in_nulls", ["nation", "region"], "SELECT n_nationkey FROM @nation WHERE n_regionkey NOT IN (SELECT NULLIF(r_regionkey, 1) FROM @region WHERE r_regionkey > 1)")
+add("join_range_outer", ["nation", "region"], "SELECT r_regionkey, n_nationkey FROM @region LEFT JOIN @nation ON n_nationkey > r_regionkey * 7 AND n_nationkey < r_regionkey * 7 + 3 AND r_regionkey < 3")
 add("join_cross", ["nation", "region"], "SELECT n_nationkey, r_name FROM @nation CROSS JOIN @region")
 add("join_theta", ["nation", "region"], "SELECT n_nationkey, r_regionkey FROM @nation JOIN @region ON n_regionkey < r_regionkey")
 add("join_residual", ["orders", "lineitem"], "SELECT o_orderkey, count(*) AS n FROM @orders JOIN @lineitem ON o_orderkey = l_orderkey AND l_shipdate > o_orderdate + INTERVAL 60 DAY GROUP BY o_orderkey")

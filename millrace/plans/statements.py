@@ -64,6 +64,17 @@ statements("sql_join_of_tables", "SELECT r_name, count(*) AS n FROM nation JOIN
 statements("sql_view_and_function", "SELECT n_name, n_nationkey * 2 AS twice FROM nation WHERE n_regionkey = 1", "CREATE TABLE n AS SELECT * FROM nation", "CREATE VIEW one AS SELECT * FROM n WHERE n_regionkey = 1", "CREATE FUNCTION double_it(x INT) RETURNS INT RETURN x * 2", "SELECT n_name, double_it(n_nationkey) AS twice FROM one")
 statements("sql_describe_show_create", "SELECT 'CREATE TABLE kept (o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double) PARTITION BY (o_orderstatus) LOCALSORT BY (o_orderkey)' AS definition, 'kept' AS table_name", CREATE, "SHOW CREATE TABLE kept")
 statements("sql_describe_table", "SELECT 'k' AS column_name, 'int' AS data_type, true AS is_nullable UNION ALL SELECT 'v', 'string', true", "CREATE TABLE t (k INTEGER, v VARCHAR)", "DESCRIBE TABLE t")
+statements("sql_at_timestamp", f"SELECT {KEPT} FROM orders WHERE o_custkey > 10", CREATE, "DELETE FROM kept WHERE o_custkey <= 10", "SELECT * FROM kept AT TIMESTAMP '2999-01-01 00:00:00'")
+statements("sql_use_branch", "SELECT count(*) AS n FROM orders", CREATE, "CREATE BRANCH b", "TRUNCATE TABLE kept", "USE BRANCH b", "SELECT count(*) AS n FROM kept")
+statements("sql_show_tags", "SELECT 'a' AS name, 'kept' AS table_name, 0::BIGINT AS snapshot_id UNION ALL SELECT 'b', 'kept', 0", CREATE, "CREATE TAG a", "DELETE FROM kept", "CREATE TAG b", "ALTER TAG b ASSIGN TAG a", "SHOW TAGS")
+statements("sql_row_and_mask_policies", "SELECT n_nationkey, regexp_replace(n_name, '[A-Z]', 'X', 'g') AS n_name FROM nation WHERE n_regionkey <> 3", "CREATE TABLE n AS SELECT n_nationkey, n_name, n_regionkey FROM nation", "CREATE FUNCTION allowed(r INT) RETURNS BOOLEAN RETURN r <> 3",
+    "ALTER TABLE n ADD ROW ACCESS POLICY allowed(n_regionkey)", "ALTER TABLE n MODIFY COLUMN n_name SET MASKING POLICY REGEXP_REPLACE(n_name, '[A-Z]', 'X')", "SELECT n_nationkey, n_name FROM n")
+statements("sql_policies_unset", "SELECT n_nationkey, n_name FROM nation", "CREATE TABLE n AS SELECT n_nationkey, n_name FROM nation", "ALTER TABLE n ADD ROW ACCESS POLICY n_nationkey > 3", "ALTER TABLE n MODIFY COLUMN n_name SET MASKING POLICY 'x'", "ALTER TABLE n DROP ROW ACCESS POLICY", "ALTER TABLE n MODIFY COLUMN n_name UNSET MASKING POLICY", "SELECT * FROM n")
+statements("sql_table_properties", "SELECT * FROM (VALUES ('owner', 'me'), ('partition_by', ''), ('primary_key', 'k'), ('sort_by', 'k')) AS t(key, value)", "CREATE TABLE t (k INT, v VARCHAR) LOCALSORT BY (v)", "ALTER TABLE t SET TBLPROPERTIES ('owner' = 'me', 'gone' = '1')", "ALTER TABLE t UNSET TBLPROPERTIES ('gone')", "ALTER TABLE t ADD PRIMARY KEY (k)", "ALTER TABLE t DROP LOCALSORT BY", "ALTER TABLE t CLUSTER BY (k)", "SHOW TBLPROPERTIES t")
+statements("sql_reflection_answers", "SELECT o_orderstatus, sum(o_custkey)::BIGINT AS s, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus", CREATE, "ALTER TABLE kept CREATE AGGREGATE REFLECTION r USING DIMENSIONS (o_orderstatus, o_custkey) MEASURES (o_custkey (SUM), * (COUNT))", "SELECT o_orderstatus, SUM(o_custkey) AS s, COUNT(*) AS n FROM kept WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus")
+statements("sql_reflection_stale", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey > 50 GROUP BY o_orderstatus", CREATE, "ALTER TABLE kept CREATE AGGREGATE REFLECTION r USING DIMENSIONS (o_orderstatus) MEASURES (* (COUNT))", "DELETE FROM kept WHERE o_custkey <= 50", "SELECT o_orderstatus, COUNT(*) AS n FROM kept GROUP BY o_orderstatus")
+statements("sql_reflection_refreshed", "SELECT 'r' AS reflection_name, 'kept' AS table_name, count(DISTINCT o_orderstatus) AS rows FROM orders WHERE o_orderstatus <> 'F'", CREATE, "ALTER TABLE kept CREATE AGGREGATE REFLECTION r USING DIMENSIONS (o_orderstatus) MEASURES (* (COUNT))", "DELETE FROM kept WHERE o_orderstatus = 'F'", "ALTER TABLE kept REFRESH REFLECTIONS", "SHOW REFLECTIONS")
+statements("sql_roles_is_member", "SELECT r_regionkey, false AS a FROM region", "CREATE ROLE analysts", "CREATE USER ann", "GRANT ROLE analysts TO USER ann", "SELECT r_regionkey, IS_MEMBER('analysts') AS a FROM region")
 
 
 def _from_files(name: str, oracle: str, *texts: str):

@@ -153,6 +153,42 @@ def test_runtime_filter_settings_and_sort_order(spark, sf_dir):
     assert top == sorted(top)
 
 
+def test_grants_and_reflections_in_statements(spark, sf_dir):
+    from millrace.plans.statements import CREATE, engine
+
+    e = engine(spark, sf_dir)
+    for text in (CREATE, "CREATE ROLE readers", "CREATE ROLE all_staff", "CREATE USER ann", "GRANT ROLE readers TO ROLE all_staff", "GRANT ROLE all_staff TO USER ann", "GRANT SELECT ON TABLE kept TO ROLE readers"):
+        e.execute(text)
+    e.user = "ann"
+    assert e.execute("SELECT IS_MEMBER('readers') AS a, LAST_QUERY_ID() IS NOT NULL AS b").first()[:] == (True, True)
+    assert e.execute("SELECT count(*) AS n FROM kept").first().n
+    e.user = None
+    e.execute("REVOKE SELECT ON TABLE kept FROM ROLE readers")
+    e.user = "ann"
+    with pytest.raises(PermissionError):
+        e.execute("SELECT * FROM kept")
+    e.user = None
+    e.execute("ALTER TABLE kept CREATE AGGREGATE REFLECTION r USING DIMENSIONS (o_orderstatus) MEASURES (* (COUNT))")
+    text = "SELECT o_orderstatus, COUNT(*) AS n FROM kept GROUP BY o_orderstatus"
+    assert "reflection-r" in e.execute(text).inputFiles()[0]
+    e.execute("ALTER TABLE kept DISABLE ACCELERATION")
+    assert "reflection-r" not in e.execute(text).inputFiles()[0]
+    assert "Aggregate" in e.execute(f"EXPLAIN PLAN FOR {text}").first().plan and e.execute(f"EXPLAIN JSON FOR {text}").first().plan.startswith("[")
+
+
+def test_runtime_filter_reaches_the_plan(spark, sf_dir):
+    settings = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        li, o = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders").where("o_custkey < 9")
+        assert "might_contain" in li.join(o, li.l_orderkey == o.o_orderkey)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_statements_report_faults(spark, sf_dir):
     from millrace.plans.statements import engine
 
