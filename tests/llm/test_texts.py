@@ -563,3 +563,19 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     label = slow_components([f for _, f in fps])
     assert near.count() == len(set(label))
     assert last.count() == mix.count() and mix.select("doc_id").distinct().join(near, "doc_id", "left_anti").count() == 0
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf_dir, odd, nothing):
+    """Nulls in every column, repeated rows, long texts, clashing columns and empty tables pass each stage whole."""
+    import corpus_pipeline
+
+    wide = odd.withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long"), "kept doc_id": F.lit(1), "row": F.lit("r"), "size": F.lit(2), "own id": F.lit(3)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, sf_dir)
+        assert out.columns[0] == "doc_id" and out.count() <= 3 * odd.count(), name
+        assert stage(spark, nothing.withColumns({"lang": F.lit(""), "n_chars": F.lit(0).cast("long")}), sf_dir).count() == 0, name
+    texts = [r.text or "" for r in odd.collect()]
+    kept = corpus_pipeline.exact(spark, wide, sf_dir).collect()
+    assert len(kept) == len({re.sub(r"[\x20\x09-\x0D]+", " ", t) for t in texts})
+    fps = [slow_fingerprint(t) for t in texts]
+    assert corpus_pipeline.near(spark, wide, sf_dir).count() == len(set(slow_components(fps)))
