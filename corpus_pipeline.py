@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and hands the reread table on.
+
+Defined cases, of every stage: null, empty and very long texts pass as their operator
+says (the docstrings of ``millrace.llm``); rows are told apart as rows, so null or
+repeated ids drop nothing else; repeated rows are equal texts, of which one stays
+from the second stage on; an empty table gives an empty table; columns other than
+those of ``documents`` do not travel, whatever their names.
 """
 
 from __future__ import annotations
