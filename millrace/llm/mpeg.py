@@ -158,6 +158,17 @@ def _xing(data: bytes, at: int, h: Header) -> dict:
     return out
 
 
+def _vbri(data: bytes, at: int, h: Header) -> dict:
+    """The other encoder table of variable-bitrate streams: 32 bytes behind the header, seek entries of 1 to 4 bytes."""
+    start = at + 36
+    if h.layer != 3 or data[start : start + 4] != b"VBRI" or start + 26 > len(data):
+        return {}
+    _, _, quality, size, frames, entries, scale, width, each = struct.unpack(">HHHIIHHHH", data[start + 4 : start + 26])
+    raw = data[start + 26 : start + 26 + entries * width]
+    toc = [int.from_bytes(raw[i : i + width], "big") * scale for i in range(0, len(raw) - width + 1, width)] if 1 <= width <= 4 else []
+    return {"kind": "VBRI", "frames": frames, "bytes": size, "quality": quality, "toc": toc, "frames_per_entry": each}
+
+
 def parse(data: bytes) -> Stream:
     """Everything a stream says of itself, with checks, offsets and ancillary payload."""
     out = Stream()
@@ -172,7 +183,7 @@ def parse(data: bytes) -> Stream:
         # a header counts if the next one follows it, or the stream ends there
         if h and (after == end or after < end and ((len(offsets) and not lost) or header(data[after : after + 4]) is not None)):
             lost = False
-            if not offsets and not out.xing and (x := _xing(data, at, h)):
+            if not offsets and not out.xing and (x := _xing(data, at, h) or _vbri(data, at, h)):
                 out.xing = x
             else:
                 offsets.append(at)

@@ -166,6 +166,22 @@ def test_mpeg_resynchronises_and_notices_damage():
     assert all(mpeg.header(whole[o : o + 4]) for o in s.offsets.tolist())
 
 
+def test_mpeg_reads_the_other_bitrate_table():
+    import struct
+
+    whole = mpeg.build(b"payload" * 900)
+    _, tags = mpeg._id3v2(whole)
+    at = next(i for i in range(len(whole)) if mpeg.header(whole[i : i + 4]) and whole[i : i + 200].find(b"Xing") > 0)
+    h = mpeg.header(whole[at : at + 4])
+    body = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 12345, 3, 2, 10, 2, 1) + struct.pack(">HH", 7, 9)
+    other = whole[:at] + whole[at : at + 4] + (bytes(32) + body).ljust(h.length - 4, b"\0") + whole[at + h.length :]
+    s = mpeg.parse(other)
+    assert s.xing == {"kind": "VBRI", "frames": 3, "bytes": 12345, "quality": 75, "toc": [70, 90], "frames_per_entry": 1}
+    assert s.payload == mpeg.parse(whole).payload and tags
+    cut = other[: at + 50]
+    assert mpeg.parse(cut).frames == 0
+
+
 def test_mpeg_damaged_tags():
     whole = mpeg.build(b"payload" * 99)
     at = whole.index(b"payload_bytes\0") + len(b"payload_bytes\0")
