@@ -198,6 +198,8 @@ def _dated(name: str, args: list[str]) -> str | None:
 def sql(name: str, *args: str) -> str:
     """Spark SQL of one call; arguments are SQL text."""
     key = name.lower()
+    if key == "convert" and len(args) == 2:  # CONVERT(value, TYPE)
+        return f"CAST({args[0]} AS {re.sub('(?i)^(varchar|character varying)( *[(][0-9 ]+[)])?$', 'STRING', args[1].strip())})"
     done = _dated(key, list(args))
     if done is not None:
         return done
@@ -216,7 +218,7 @@ def call(name: str, *args: str) -> Column:
 
 def known() -> frozenset[str]:
     """All names of the dialect."""
-    return SAME | frozenset(ALIASES) | frozenset(COMPOSED) | {"to_char", "to_date", "to_timestamp"}
+    return SAME | frozenset(ALIASES) | frozenset(COMPOSED) | {"convert", "to_char", "to_date", "to_timestamp"}
 
 
 _LEX = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/|[A-Za-z_]\w*|\s+|.", re.S)

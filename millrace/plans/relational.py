@@ -94,6 +94,7 @@ add("agg_max_min_by", ["customer"], "SELECT c_nationkey, IMAXDIR(c_name) AS hi,
 add("agg_having_alias", ["orders"], "SELECT o_custkey AS k, count(*) AS n FROM @orders GROUP BY k HAVING n > 12")
 add("agg_ordinals", ["orders"], "SELECT o_orderstatus, CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM @orders GROUP BY 1, 2")
 add("agg_ndv_sketch", ["lineitem"], "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, abs(NDV(l_partkey) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS near FROM @lineitem GROUP BY l_returnflag", "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, count(DISTINCT l_partkey) > 0 AS near FROM lineitem GROUP BY l_returnflag")
+add("agg_approx_count_distinct", ["orders"], "SELECT o_orderpriority, count(DISTINCT o_custkey) AS exact, abs(APPROX_COUNT_DISTINCT(o_custkey) - count(DISTINCT o_custkey)) > 0.1 * count(DISTINCT o_custkey) AS far FROM @orders GROUP BY o_orderpriority", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS exact, count(*) < 0 AS far FROM orders GROUP BY o_orderpriority")
 add("agg_hll_merge", ["lineitem"], "SELECT max(d) AS exact, abs(HLL_DECODE(HLL_MERGE(s)) - max(d)) <= 0.05 * max(d) AS near, HLL_DECODE(HLL_MERGE(s)) = max(d) + 1000000 AS wrong FROM (SELECT HLL(l_orderkey) AS s FROM @lineitem GROUP BY l_returnflag) AS t CROSS JOIN (SELECT count(DISTINCT l_orderkey) AS d FROM @lineitem) AS u", "SELECT count(DISTINCT l_orderkey) AS exact, count(*) > 0 AS near, count(*) < 0 AS wrong FROM lineitem")
 add("agg_pivot", ["lineitem"], "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM @lineitem) PIVOT (count(l_quantity) FOR l_linestatus IN ('O' AS o, 'F' AS f))", "SELECT l_returnflag, NULLIF(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS o, NULLIF(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS f FROM lineitem GROUP BY l_returnflag")
 add("agg_partition_change", ["customer"], "SELECT c_custkey, CAST(sum(fresh) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_custkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part FROM (SELECT c_custkey, c_mktsegment, c_nationkey, CASE WHEN c_nationkey IS DISTINCT FROM lag(c_nationkey) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_custkey) THEN 1 ELSE 0 END AS fresh FROM @customer) AS t")

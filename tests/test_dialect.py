@@ -28,7 +28,7 @@ def test_too_many_arguments():
     [
         ("LEFT('abcdef', -2)", "abcd"), ("CONCAT('a', NULL, 'b')", "ab"), ("ARRAY_POSITION(NULL, array(1, NULL))", 1), ("ARRAY_SLICE(array(0, 1, 2, 3), -3, -1)", [1, 2]),
         ("ARRAY_REMOVE_AT(array(1, 2, 3), 9)", [1, 2, 3]), ("ARRAY_INSERT(array(1, 2, 3), -1, 55)", [1, 2, 55, 3]), ("SUBLIST(array(1, 2, 3), 0, 2)", [1, 2]), ("BIN(-2)", "1" * 31 + "0"), ("CHR(128512)", "😀"),
-        ("TRUNCATE(-1.987D, 2)", -1.98), ("BYTE_SUBSTR(X'00ff10', 2, 1)", b"\xff"), ("CAST(DATE '2024-03-01' - DATE '2024-02-27' AS STRING)", "INTERVAL '3' DAY"), ("TRUNCATE(1.15, 2)", 1.15), ("TRUNCATE(1.15D, 2)", 1.15), ("TRUNCATE(-129D, -1)", -120.0), ("TRUNCATE(1e30D, 2)", 1e30), ("CRC32('123456789')", 3421780262), ("HASH('Spark')", 228093765), ("DIVIDE(1D, 0D)", float("inf")), ("HASH64(CAST(NULL AS STRING))", 0), ("TO_DATE('31/12/2020', 'DD/MM/YYYY')", __import__("datetime").date(2020, 12, 31)), ("SIMILAR_TO('a cake', '%cake')", True),
+        ("TRUNCATE(-1.987D, 2)", -1.98), ("CONVERT(12, VARCHAR)", "12"), ("CONVERT('7', INTEGER) + 1", 8), ("IS_MEMBER('nobody at all')", False), ("BYTE_SUBSTR(X'00ff10', 2, 1)", b"\xff"), ("CAST(DATE '2024-03-01' - DATE '2024-02-27' AS STRING)", "INTERVAL '3' DAY"), ("TRUNCATE(1.15, 2)", 1.15), ("TRUNCATE(1.15D, 2)", 1.15), ("TRUNCATE(-129D, -1)", -120.0), ("TRUNCATE(1e30D, 2)", 1e30), ("CRC32('123456789')", 3421780262), ("HASH('Spark')", 228093765), ("DIVIDE(1D, 0D)", float("inf")), ("HASH64(CAST(NULL AS STRING))", 0), ("TO_DATE('31/12/2020', 'DD/MM/YYYY')", __import__("datetime").date(2020, 12, 31)), ("SIMILAR_TO('a cake', '%cake')", True),
         ("ISNUMERIC('1e5')", True), ("ISNUMERIC('NaN')", False), ("MASK_SHOW_LAST_N('Ab12', 2)", "Xx12"), ("ARRAY_AVG(array(2, NULL))", 1.0), ("TYPEOF('x')", "CHARACTER VARYING"),
     ],
 )
