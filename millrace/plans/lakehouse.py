@@ -258,6 +258,34 @@ def _schemata(spark, sf_dir):
     return c.information_schema("CATALOGS").select("CATALOG_NAME").join(c.information_schema("SCHEMATA"), "CATALOG_NAME")
 
 
+@query("sink_text", "SELECT n_nationkey, NULLIF(n_name, 'NATION_4') AS n_name, n_regionkey FROM nation")
+def _sink_text(spark, sf_dir):
+    path = shared(spark, "sink")
+    files.write_text(_nation(spark, sf_dir).withColumn("n_name", F.expr("nullif(n_name, 'NATION_4')")), path, "|", null="\\N", codec="gzip")
+    return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").option("sep", "|").option("header", True).option("nullValue", "\\N").csv(path)
+
+
+@query("sink_json", "SELECT n_nationkey, NULLIF(n_name, 'NATION_4') AS n_name, n_regionkey FROM nation")
+def _sink_json(spark, sf_dir):
+    path = shared(spark, "sink")
+    files.write_json(_nation(spark, sf_dir).withColumn("n_name", F.expr("nullif(n_name, 'NATION_4')")), path, partition_by=("n_regionkey",))
+    return files.json_lines(spark, path, "n_nationkey int, n_name string, n_regionkey int").select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("sink_parquet_row_groups", "SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey < 100) AS low, true AS several FROM orders")
+def _sink_parquet(spark, sf_dir):
+    """Small row groups are really written: one file's footer lists several."""
+    import io
+
+    import pyarrow.parquet as pq
+
+    path, fs = shared(spark, "sink"), Files(spark)
+    files.write_parquet(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").coalesce(1), path, row_group_bytes=2048, page_bytes=512, bloom=("o_custkey",), sort_by=("o_orderkey",))
+    one = next(f for f, *_ in fs.list(path) if f.endswith(".parquet"))
+    groups = pq.ParquetFile(io.BytesIO(fs.read_bytes(one))).metadata.num_row_groups
+    return files.parquet(spark, path).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderkey") < 100).alias("low"), F.lit(groups > 1).alias("several"))
+
+
 @query("scan_empty_and_rows", "SELECT 1 AS k, 'a' AS v UNION ALL SELECT 2, NULL")
 def _rows(spark, sf_dir):
     return files.rows(spark, [(1, "a"), (2, None)], "k int, v string").unionByName(files.empty(spark, "k int, v string"))
@@ -497,6 +525,12 @@ def _stream_tumble(spark, sf_dir):
     return windows.drain(df, "tumble", "complete").select(F.col("w.start").alias("s"), F.col("w.end").alias("e"), "event_type", "n", "v")
 
 
+@query("stream_hop", HOPPED)
+def _stream_hop(spark, sf_dir):
+    df = windows.hop(_events_stream(spark, sf_dir), "ts", "12 hours", "6 hours").groupBy("w", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("v"))
+    return windows.drain(df, "hop", "complete").select(F.col("w.start").alias("s"), F.col("w.end").alias("e"), "event_type", "n", "v")
+
+
 @query("stream_session", SESSIONS)
 def _stream_session(spark, sf_dir):
     df = windows.session(_events_stream(spark, sf_dir), "ts", "2 hours").groupBy("w", "user_id").agg(F.count(F.lit(1)).alias("n"))

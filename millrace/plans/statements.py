@@ -64,6 +64,12 @@ statements("sql_join_of_tables", "SELECT r_name, count(*) AS n FROM nation JOIN
 statements("sql_view_and_function", "SELECT n_name, n_nationkey * 2 AS twice FROM nation WHERE n_regionkey = 1", "CREATE TABLE n AS SELECT * FROM nation", "CREATE VIEW one AS SELECT * FROM n WHERE n_regionkey = 1", "CREATE FUNCTION double_it(x INT) RETURNS INT RETURN x * 2", "SELECT n_name, double_it(n_nationkey) AS twice FROM one")
 statements("sql_describe_show_create", "SELECT 'CREATE TABLE kept (o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double) PARTITION BY (o_orderstatus) LOCALSORT BY (o_orderkey)' AS definition, 'kept' AS table_name", CREATE, "SHOW CREATE TABLE kept")
 statements("sql_describe_table", "SELECT 'k' AS column_name, 'int' AS data_type, true AS is_nullable UNION ALL SELECT 'v', 'string', true", "CREATE TABLE t (k INTEGER, v VARCHAR)", "DESCRIBE TABLE t")
+statements("sql_information_schema", "SELECT 'n' AS t, 'n_name' AS c, 2 AS p, 'string' AS k", "CREATE TABLE n AS SELECT n_nationkey, n_name FROM nation", "SELECT TABLE_NAME AS t, COLUMN_NAME AS c, ORDINAL_POSITION AS p, DATA_TYPE AS k FROM INFORMATION_SCHEMA.\"COLUMNS\" WHERE TABLE_NAME = 'n' AND COLUMN_NAME LIKE '%name'")
+statements("sql_sys_snapshots", "SELECT 'n' AS table_name, 1::BIGINT AS snapshot_id, 'delete' AS operation, count(*) AS rows FROM nation WHERE n_regionkey <> 2", "CREATE TABLE n AS SELECT * FROM nation", "DELETE FROM n WHERE n_regionkey = 2", "SELECT table_name, snapshot_id, operation, rows FROM sys.snapshots WHERE snapshot_id > 0")
+statements("sql_sys_roles", "SELECT 'readers' AS role_name, 'ann, bob' AS members", "CREATE ROLE readers", "CREATE USER ann", "CREATE USER bob", "GRANT ROLE readers TO USER ann", "GRANT ROLE readers TO USER bob", "CREATE ROLE gone", "DROP ROLE gone", "SELECT role_name, members FROM sys.roles")
+statements("sql_division_of_integers", "SELECT c_custkey, (c_custkey - 40) // 7 + CASE WHEN (c_custkey - 40) % 7 < 0 THEN 1 ELSE 0 END AS q, (c_nationkey + 1) // 2 * 3 AS r, sum(c_nationkey) OVER (PARTITION BY c_mktsegment)::BIGINT // 5 AS s FROM customer".replace("(c_custkey - 40) // 7 + CASE WHEN (c_custkey - 40) % 7 < 0 THEN 1 ELSE 0 END", "CAST(trunc((c_custkey - 40) / 7.0::DOUBLE) AS BIGINT)"),
+    "SELECT c_custkey, (c_custkey - 40) / 7 AS q, (c_nationkey + 1) / 2 * 3 AS r, SUM(c_nationkey) OVER (PARTITION BY c_mktsegment) / 5 AS s FROM customer")
+statements("sql_division_by_zero", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'Infinity'::DOUBLE WHEN c_acctbal < 0 THEN '-Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END AS z, c_acctbal / 4 AS q, round(2 * c_acctbal / 8 / 0.5, 6) AS w FROM customer", "SELECT c_custkey, c_acctbal / (c_custkey - c_custkey) AS z, c_acctbal / 4 AS q, round(2 * c_acctbal / 8 / 0.5D, 6) AS w FROM customer WHERE c_acctbal / 1 IS NOT NULL")
 statements("sql_at_timestamp", f"SELECT {KEPT} FROM orders WHERE o_custkey > 10", CREATE, "DELETE FROM kept WHERE o_custkey <= 10", "SELECT * FROM kept AT TIMESTAMP '2999-01-01 00:00:00'")
 statements("sql_use_branch", "SELECT count(*) AS n FROM orders", CREATE, "CREATE BRANCH b", "TRUNCATE TABLE kept", "USE BRANCH b", "SELECT count(*) AS n FROM kept")
 statements("sql_show_tags", "SELECT 'a' AS name, 'kept' AS table_name, 0::BIGINT AS snapshot_id UNION ALL SELECT 'b', 'kept', 0", CREATE, "CREATE TAG a", "DELETE FROM kept", "CREATE TAG b", "ALTER TAG b ASSIGN TAG a", "SHOW TAGS")

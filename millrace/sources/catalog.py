@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.functions import dialect
+from millrace.functions import dialect, division
 
 
 @dataclass
@@ -29,7 +29,8 @@ class Catalog:
 
     def sql(self, statement: str) -> DataFrame:
         """Run a statement of the dialect."""
-        return self.spark.sql(dialect.translate(statement))
+        text = dialect.translate(statement)
+        return self.spark.sql(division.typed(text, self.spark.sql) if "/" in text else text)
 
     # -- functions ------------------------------------------------------------------
     def function(self, name: str, args: str, returns: str, body: str) -> None:

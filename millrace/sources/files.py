@@ -56,6 +56,26 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None, multi_
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def write_text(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, quote: str = '"', null: str = "", codec: str = "none", partition_by: tuple[str, ...] = ()) -> None:
+    """Delimited text, a file per task; nulls as ``null``."""
+    writer = df.write.option("sep", delimiter).option("header", header).option("quote", quote).option("escape", quote).option("nullValue", null).option("compression", codec)
+    writer.partitionBy(*partition_by).csv(path)
+
+
+def write_json(df: DataFrame, path: str, nulls: bool = True, codec: str = "none", partition_by: tuple[str, ...] = ()) -> None:
+    """A JSON object per line; null fields are written unless ``nulls`` is off."""
+    df.write.option("ignoreNullFields", not nulls).option("compression", codec).partitionBy(*partition_by).json(path)
+
+
+def write_parquet(df: DataFrame, path: str, row_group_bytes: int = 128 << 20, page_bytes: int = 1 << 20, codec: str = "zstd", bloom: tuple[str, ...] = (), partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> None:
+    """Parquet with chosen row groups, pages, codec and Bloom filters; sorted within tasks, so that statistics can prune."""
+    df = df.sortWithinPartitions(*sort_by) if sort_by else df
+    writer = df.write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("compression", codec)
+    for c in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.partitionBy(*partition_by).parquet(path)
+
+
 def parquet(spark: SparkSession, path: str, merge: bool = False) -> DataFrame:
     return spark.read.option("mergeSchema", merge).parquet(path)
 

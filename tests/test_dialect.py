@@ -86,3 +86,23 @@ def test_range_spans_of_any_length(spark):
     s = spark.createDataFrame(spans, "s int, a double, b double")
     want = sorted((i, float(x)) for i, a, b in spans if a is not None for x in range(200) if a <= x < b)
     assert sorted((r.s, r.x) for r in joins.ranges(p, s, "x", "a", "b", 3.0).collect()) == want
+
+
+@pytest.mark.parametrize(
+    ("expression", "value"),
+    [
+        ("7 / 2", 3), ("-7 / 2", -3), ("7 / 2 * 2", 6), ("2 * 7 / 4", 3), ("1 + 9 / 2 - 1", 4), ("(1 + 9) / (2 + 1)", 3), ("7 / 2.0D", 3.5), ("1D / 0", float("inf")), ("-1D / 0", float("-inf")), ("'a/b'", "a/b"),
+        ("CASE WHEN true THEN 9 END / CASE WHEN true THEN 2 END", 4), ("array(8, 9)[1] / 2", 4), ("abs(-9) / length('ab') / 2", 2), ("9 / -2", -4), ("CAST(NULL AS INT) / 2", None), ("/* 1 / 2 */ 5 / 2", 2), ("length('x') / 1", 1),
+    ],
+)
+def test_division(spark, expression, value):
+    from millrace.sources.catalog import Catalog
+
+    got = Catalog(spark).sql(f"SELECT {expression} AS v").first()[0]
+    assert got == value and type(got) is type(value)
+
+
+def test_division_of_decimals_is_left(spark):
+    from millrace.sources.catalog import Catalog
+
+    assert str(Catalog(spark).sql("SELECT 7 / 2.5 AS v").first()[0]).startswith("2.8") and Catalog(spark).sql("SELECT 7 / 2.5 AS v").dtypes[0][1].startswith("decimal")
