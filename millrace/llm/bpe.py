@@ -4,8 +4,8 @@ A byte-pair encoding is a chain of tokens of which each neighbouring pair is
 compatible: encoding the pair's joined text alone gives back that pair.  Every
 prefix of a word therefore has exactly one possible last token, found among the
 vocabulary tokens that end there: the one compatible with the last token of the
-prefix before it.  An automaton over the vocabulary walks the word once; its
-state is the longest suffix read so far that begins a token, and its suffix
+prefix before it.  A suffix automaton of the vocabulary walks the word once; its
+state is the longest suffix read so far that is part of a token, and its suffix
 links list every token that ends at the position, longest first.  One last token
 per prefix is stored, and following them back from the end emits the exact ids,
 in time linear in the word's length whatever the merges are.
@@ -138,51 +138,72 @@ class WordBpe:
 
     # -- automaton ------------------------------------------------------------
     def _automaton(self, vocab: dict) -> None:
-        goto: dict[tuple[int, str], int] = {}
-        ends, order = [-1], []
-        depth = [0]
+        """Suffix automaton of all tokens: a state is a class of parts of tokens that end at the same places."""
+        self.kids, self.link, self.size = [{}], [-1], [0]
+        own: dict[int, int] = {}
         for token, i in vocab.items():
             path = token[: -len(self.suffix)] + END if token.endswith(self.suffix) and len(token) > len(self.suffix) else token
             state = 0
             for c in path:
-                nxt = goto.get((state, c))
-                if nxt is None:
-                    nxt = goto[(state, c)] = len(ends)
-                    ends.append(-1)
-                    depth.append(depth[state] + 1)
-                    order.append((depth[nxt], state, c, nxt))
-                state = nxt
-            ends[state] = i
-        kids: list[dict] = [{} for _ in ends]
-        for (parent, c), state in goto.items():
-            kids[parent][c] = state
-        leaf: dict = {}
-        link, hits = [0] * len(ends), [()] * len(ends)
-        for d, parent, c, state in sorted(order):
-            if d > 1:
-                back = link[parent]
-                while back and c not in kids[back]:
-                    back = link[back]
-                link[state] = kids[back].get(c, 0)
-            own = ((ends[state], d),) if ends[state] >= 0 else ()
-            hits[state] = own + hits[link[state]]  # tokens ending here, longest first
-        self.kids, self.link, self.hits = [k or leaf for k in kids], link, hits
+                state = self._extend(state, c)
+            own[state] = i  # a whole token is the longest part of its class, so a state has one at most
+        hits: list[tuple] = [()] * len(self.size)
+        for state in sorted(range(1, len(self.size)), key=self.size.__getitem__):
+            shorter = hits[self.link[state]]
+            hits[state] = ((own[state], self.size[state]), *shorter) if state in own else shorter
+        self.hits = hits  # tokens ending with a state, longest first
+        self.link[0] = 0
+
+    def _state(self, kids: dict, link: int, size: int) -> int:
+        self.kids.append(kids)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.size) - 1
+
+    def _split(self, state: int, c: str, longer: int) -> int:
+        """The class of ``state`` followed by ``c``, parted from the longer parts that ``longer`` also holds."""
+        kids, link, size = self.kids, self.link, self.size
+        if size[longer] == size[state] + 1:
+            return longer
+        part = self._state(dict(kids[longer]), link[longer], size[state] + 1)
+        link[longer] = part
+        while state >= 0 and kids[state].get(c) == longer:
+            kids[state][c] = part
+            state = link[state]
+        return part
+
+    def _extend(self, state: int, c: str) -> int:
+        """The class of the token read so far and ``c``; shared beginnings are walked, not added again."""
+        kids, link = self.kids, self.link
+        known = kids[state].get(c)
+        if known is not None:
+            return self._split(state, c, known)
+        new = self._state({}, 0, self.size[state] + 1)
+        while state >= 0 and c not in kids[state]:
+            kids[state][c] = new
+            state = link[state]
+        if state >= 0:
+            link[new] = self._split(state, c, kids[state][c])
+        return new
 
     def word_ids(self, symbols: str) -> list[int]:
         """Ids of one word, given in the byte alphabet."""
         n = len(symbols)
-        kids, link, hits, fits = self.kids, self.link, self.hits, self.fits
+        kids, link, length, hits, fits = self.kids, self.link, self.size, self.hits, self.fits
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        state = 0
+        state = read = 0  # symbols before this place that are a part of some token
         for i, c in enumerate(symbols + END, 1):
             nxt = kids[state].get(c)
             while nxt is None and state:
                 state = link[state]
+                read = length[state]
                 nxt = kids[state].get(c)
-            state = nxt or 0
+            state, read = (0, 0) if nxt is None else (nxt, read + 1)
             if i == n:  # the last symbol carries the end mark, so no token ends just before it
                 continue
             for token, size in hits[state]:
+                if size > read:  # the class holds the token, but not all of it has been read
+                    continue
                 begin = i - size
                 if begin:
                     left = last[begin]
