@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import uuid
 
@@ -13,7 +14,7 @@ from millrace.functions import dialect
 from millrace.operators.materialize import Registry, Spec
 from millrace.operators.versioned import VersionedTable
 from millrace.plans.base import Query, load, sql_query
-from millrace.sources import avro, excel, files, lakes
+from millrace.sources import avro, excel, files, lakes, roaring
 from millrace.sources.catalog import Catalog
 from millrace.sources.work import Files, shared
 from millrace.streaming import windows
@@ -172,6 +173,31 @@ def _delta_checkpoint(spark, sf_dir):
     return lakes.delta(spark, path)
 
 
+@query("scan_delta_deletion_vectors", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 7 <> 0 AND NOT (c_custkey % 3 = 1 AND c_custkey % 5 = 0)")
+def _delta_deletion_vectors(spark, sf_dir):
+    """One file whole, one with a vector inside the log, one whose vector is replaced by another in a file beside it."""
+    path, fs = shared(spark, "delta"), Files(spark)
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name").where("c_custkey IS NOT NULL")
+    names = [_saved(spark, c.where(F.col("c_custkey") % 3 == k).where("c_custkey % 7 <> 0" if k == 0 else "true"), path, f"f{k}") for k in range(3)]
+
+    def vector(k: int, condition: str) -> bytes:
+        rows = spark.read.parquet(f"{path}/{names[k]}").select("*", "_metadata.row_index").where(condition).select("row_index")
+        return roaring.packed([r[0] for r in rows.collect()])  # a fixture's rows
+
+    old, new, inside = vector(1, "c_custkey % 7 = 0"), vector(1, "c_custkey % 7 = 0 OR c_custkey % 5 = 0"), vector(2, "c_custkey % 7 = 0")
+    body, at = roaring.filed([old, new])
+    name = uuid.uuid4()
+    fs.write_bytes(f"{path}/dv/deletion_vector_{name}.bin", body)
+    filed = [{"storageType": "u", "pathOrInlineDv": "dv" + base64.z85encode(name.bytes).decode(), "offset": o, "sizeInBytes": len(v)} for o, v in zip(at, (old, new), strict=True)]
+    inline = {"storageType": "i", "pathOrInlineDv": base64.z85encode(inside + bytes(-len(inside) % 4)).decode(), "sizeInBytes": len(inside)}
+    _logged(spark, path, 0, {"metaData": {"schemaString": c.schema.json()}}, {"add": {"path": names[0]}}, {"add": {"path": names[1], "deletionVector": filed[0]}}, {"add": {"path": names[2]}})
+    _logged(
+        spark, path, 1, {"add": {"path": names[1], "deletionVector": filed[1]}}, {"remove": {"path": names[1], "deletionVector": filed[0]}},
+        {"remove": {"path": names[2]}}, {"add": {"path": names[2], "deletionVector": inline}},
+    )
+    return lakes.delta(spark, path)
+
+
 def _iceberg(spark, sf_dir) -> lakes.IcebergTable:
     """Two data files, a position delete of the first, an equality delete, and a file newer than both."""
     path, n = shared(spark, "iceberg"), _nation(spark, sf_dir)

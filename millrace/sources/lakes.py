@@ -8,16 +8,20 @@ its own size check.
 
 from __future__ import annotations
 
+import base64
 import datetime
 import json
 import re
+import uuid
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.sources import avro
+from millrace.sources import avro, roaring
 from millrace.sources.files import empty
 from millrace.sources.work import Files
 
@@ -46,10 +50,44 @@ def _checkpoint(names: list[str], last: int) -> tuple[int, list[str]]:
     return max(whole, default=(-1, []))
 
 
+def _erased(spark: SparkSession, root: str, vectors: list[tuple[str, dict]]) -> DataFrame:
+    """Rows (_path, _row) that deletion vectors take out; each file of vectors is read and decoded once, on the executors."""
+    inline, filed = [], {}
+    for path, v in vectors:
+        kind, at = v["storageType"], v["pathOrInlineDv"]
+        if kind == "i":
+            inline.append((bytearray(base64.z85decode(at)[: v["sizeInBytes"]]), [(path, -1, v["sizeInBytes"])]))
+            continue
+        if kind == "u":  # an optional folder, then the file's UUID in 20 characters
+            at = "/".join([root, *filter(None, [at[:-20]]), f"deletion_vector_{uuid.UUID(bytes=base64.z85decode(at[-20:]))}.bin"])
+        filed.setdefault(at, []).append((path, v.get("offset") or 0, v["sizeInBytes"]))
+    parts = "parts array<struct<path: string, at: long, size: long>>"
+    frames = []
+    if inline:
+        frames.append(spark.createDataFrame(inline, f"content binary, {parts}"))
+    if filed:
+        listed = spark.createDataFrame([(_plain(at), of) for at, of in filed.items()], f"_from string, {parts}")
+        read = spark.read.format("binaryFile").load(list(filed)).select(_bare(F.col("path")).alias("_from"), "content")
+        frames.append(read.join(listed, "_from").select("content", "parts"))
+    packed = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, of in zip(batch.column(0), batch.column(1), strict=True):
+                data = content.as_py()
+                for p in of.as_py():
+                    rows = roaring.numbers(data if p["at"] < 0 else roaring.stored(data, p["at"], p["size"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([p["path"]], pa.string()).take(pa.array([0] * len(rows), pa.int32())), pa.array(rows, pa.int64())], ["_path", "_row"])
+
+    return packed.mapInArrow(run, "_path string, _row long")
+
+
 def delta(spark: SparkSession, path: str, version: int | None = None, at_ms: int | None = None) -> DataFrame:
-    """A Delta Lake table: the newest complete checkpoint, then the log; partition values, name mapping, time travel.
+    """A Delta Lake table: the newest complete checkpoint, then the log; partition values, name mapping, deletion vectors, time travel.
 
-    Deletion vectors are refused, not ignored.
+    A file is one entry of the log together with its deletion vector: a commit may take it out
+    with the old vector and add it with a new one, in either order.  Only files that have a vector
+    are joined with it.
     """
     files, root = Files(spark), path.rstrip("/")
     names = sorted(n for n, *_ in files.list(f"{root}/_delta_log"))
@@ -59,13 +97,15 @@ def delta(spark: SparkSession, path: str, version: int | None = None, at_ms: int
         version = max(v for v, t in times.items() if t <= at_ms)
     last = version if version is not None else max([*logs, _checkpoint(names, 2**62)[0]])
     start, parts = _checkpoint(names, last)
-    live: dict[str, dict] = {}
+    live: dict[tuple, tuple[dict, dict | None]] = {}
     meta = None
 
+    def known_as(one: dict) -> tuple:
+        erased = one.get("deletionVector") or {}
+        return unquote(one["path"]), erased.get("storageType"), erased.get("pathOrInlineDv"), erased.get("offset")
+
     def add(one: dict) -> None:
-        if one.get("deletionVector"):
-            raise NotImplementedError("Delta deletion vectors are not supported")
-        live[unquote(one["path"])] = one.get("partitionValues") or {}
+        live[known_as(one)] = one.get("partitionValues") or {}, one.get("deletionVector")
 
     if parts:
         point = spark.read.parquet(*parts)
@@ -75,13 +115,14 @@ def delta(spark: SparkSession, path: str, version: int | None = None, at_ms: int
             add(r.asDict(recursive=True))
         got = point.where("metaData is not null").select(F.to_json("metaData").alias("m")).first()
         meta = json.loads(got[0])
-    for v in sorted(v for v in logs if start < v <= last):
-        for line in files.read(logs[v]).splitlines():
-            action = json.loads(line)
+    if missing := [v for v in range(start + 1, last + 1) if v not in logs]:
+        raise ValueError(f"the log lacks version {missing[0]}: cleaned up, or kept in a kind of checkpoint that is not read")
+    for v in range(start + 1, last + 1):
+        for action in map(json.loads, files.read(logs[v]).splitlines()):
             if "add" in action:
                 add(action["add"])
             elif "remove" in action:
-                live.pop(unquote(action["remove"]["path"]), None)
+                live.pop(known_as(action["remove"]), None)
             elif "metaData" in action:
                 meta = action["metaData"]
     schema = T.StructType.fromJson(json.loads(meta["schemaString"]))
@@ -90,12 +131,24 @@ def delta(spark: SparkSession, path: str, version: int | None = None, at_ms: int
         return empty(spark, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
     physical = {f.name: (f.metadata or {}).get("delta.columnMapping.physicalName", f.name) for f in schema}
     stored = T.StructType([T.StructField(physical[f.name], f.dataType) for f in schema if f.name not in by])
-    where = {p: p if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:|/", p) else f"{root}/{p}" for p in live}
-    rows = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(*where.values())
+    where = {p: p if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:|/", p) else f"{root}/{p}" for p, *_ in live}
+    erased = [(_plain(where[p]), vector) for (p, *_), (_, vector) in live.items() if vector]
+    marked = {p for p, _ in erased}
+
+    def scan(paths: list[str]) -> DataFrame:
+        return spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(*paths)
+
+    kinds = []
+    if whole := [at for at in where.values() if _plain(at) not in marked]:
+        kinds.append(scan(whole).withColumn("_path", _bare(F.col("_metadata.file_path"))))
+    if marked:
+        rows = scan([at for at in where.values() if _plain(at) in marked])
+        rows = rows.withColumns({"_path": _bare(F.col("_metadata.file_path")), "_row": F.col("_metadata.row_index")})
+        kinds.append(rows.join(_erased(spark, root, erased), ["_path", "_row"], "left_anti").drop("_row"))
+    rows = kinds[0] if len(kinds) == 1 else kinds[0].unionByName(kinds[1])
     if by:
-        values = [(_plain(where[p]), *[v.get(physical[c], v.get(c)) for c in by]) for p, v in live.items()]
-        known = spark.createDataFrame(values, ", ".join(["_path string", *[f"`_by_{c}` string" for c in by]]))
-        rows = rows.withColumn("_path", _bare(F.col("_metadata.file_path"))).join(known, "_path")
+        values = [(_plain(where[p]), *[v.get(physical[c], v.get(c)) for c in by]) for (p, *_), (v, _) in live.items()]
+        rows = rows.join(spark.createDataFrame(values, ", ".join(["_path string", *[f"`_by_{c}` string" for c in by]])), "_path")
     return rows.select(*[(F.col(f"`_by_{f.name}`").cast(f.dataType) if f.name in by else F.col(f"`{physical[f.name]}`")).alias(f.name) for f in schema])
 
 

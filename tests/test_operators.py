@@ -118,13 +118,39 @@ def test_avro_round_trip_of_every_type():
         list(avro.records(avro.container(schema, rows, "null")[:-30]))
 
 
-def test_delta_refuses_deletion_vectors(spark):
+def test_deletion_vectors_round_trip_and_refuse_damage():
+    import random
+    import struct
+
+    from millrace.sources import roaring
+
+    rnd = random.Random(1)
+    for rows in ([], [0], [2**32 - 1, 2**32, 2**40 + 5], range(3, 200_000, 7), range(65_530, 140_000), [rnd.randrange(2**34) for _ in range(5_000)]):
+        assert roaring.numbers(roaring.packed(rows)).tolist() == sorted(set(rows))
+    # runs 5-9 and 65535 in container 0, and an array in container 2; two containers with runs list no offsets
+    bitmap = struct.pack("<I", 12347 | 1 << 16) + b"\x01" + struct.pack("<4H", 0, 5, 2, 1) + struct.pack("<5H", 2, 5, 4, 65535, 0) + struct.pack("<2H", 1, 7)
+    vector = struct.pack("<IQI", 1681511377, 1, 0) + bitmap
+    assert roaring.numbers(vector).tolist() == [5, 6, 7, 8, 9, 65535, 131073, 131079]
+    body, (first, second) = roaring.filed([vector, roaring.packed([4])])
+    assert roaring.stored(body, first, len(vector)) == vector and roaring.numbers(roaring.stored(body, second, len(roaring.packed([4])))).tolist() == [4]
+    spoilt = bytearray(body)
+    spoilt[first + 30] ^= 1
+    for damaged in (bytes(spoilt), body[: second - 6], b"\x07" + body[1:]):
+        with pytest.raises((ValueError, struct.error)):
+            roaring.stored(damaged, first, len(vector))
+    with pytest.raises(ValueError, match="format"):
+        roaring.numbers(bytes(12))
+
+
+def test_delta_refuses_a_log_with_a_gap(spark):
     from millrace.sources import lakes
     from millrace.sources.work import Files
 
     path = shared(spark, "delta")
-    Files(spark).write(f"{path}/_delta_log/{0:020d}.json", '{"metaData": {"schemaString": "{\\"type\\": \\"struct\\", \\"fields\\": []}"}}\n{"add": {"path": "x", "deletionVector": {"storageType": "u"}}}')
-    with pytest.raises(NotImplementedError):
+    for v in (0, 2):
+        Files(spark).write(f"{path}/_delta_log/{v:020d}.json", '{"metaData": {"schemaString": "{\\"type\\": \\"struct\\", \\"fields\\": []}"}}')
+    assert lakes.delta(spark, path, version=0).columns == []
+    with pytest.raises(ValueError, match="lacks version 1"):
         lakes.delta(spark, path)
 
 
