@@ -49,6 +49,18 @@ def test_group_id_numbers_repeated_sets(spark):
     assert sorted(r.g for r in got if r.y is None) == [0, 0, 1, 1, 2, 2] and sorted(r.g for r in got if r.y is not None) == [0, 0, 1, 1]
 
 
+@pytest.mark.parametrize("call", ["NDV(id)", "NDV(id) FILTER (WHERE id >= 0)", "NDV(CAST(id AS STRING))", "NDV(id / 4D)"])
+def test_ndv_stays_near_at_a_million_keys(spark, call):
+    """The keys on which a sketch of 2^9 registers was more than a tenth away."""
+    text = dialect.translate(f"SELECT {call} AS n FROM {{r}}")
+    assert abs(spark.sql(text, r=spark.range(1_200_000)).first().n - 1_200_000) < 60_000
+
+
+def test_ndv_of_blanks_and_nulls(spark):
+    text = dialect.translate("SELECT NDV(x) AS n, NDV(y) AS none FROM VALUES ('', NULL), (NULL, NULL), ('a', NULL) AS t (x, y)")
+    assert tuple(spark.sql(text).first()) == (2, 0)
+
+
 @pytest.mark.parametrize("name", ["exchange_reused", "cte_reused"])
 def test_exchanges_are_reused(spark, sf_dir, name):
     from millrace.plans import queries
