@@ -7,11 +7,14 @@ import string
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
+from millrace.sources.work import Files
+
 
 def _letters(n: int) -> list[str]:
     """Column names of a text file without header: A ... Z, AA, AB ..."""
@@ -73,9 +76,18 @@ def write_parquet(df: DataFrame, path: str, row_group_bytes: int = 128 << 20, pa
     writer = df.write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("compression", codec)
     for c in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    # a filter is per row group and written at its greatest size (1 MB if not set): a quarter of a group has 16 bits for each 8-byte value
+    writer = writer.option("parquet.bloom.filter.max.bytes", min(1 << 20, max(32, row_group_bytes // 4))) if bloom else writer
     writer.partitionBy(*partition_by).parquet(path)
 
 
+def parquet_footer(spark: SparkSession, path: str, size: int) -> pq.FileMetaData:
+    """A Parquet file's metadata, from its footer alone."""
+    fs = Files(spark)
+    end = int.from_bytes(fs.read_end(path, size, 8)[:4], "little") + 8
+    return pq.read_metadata(pa.BufferReader(fs.read_end(path, size, end)))
+
+
 def parquet(spark: SparkSession, path: str, merge: bool = False) -> DataFrame:
     return spark.read.option("mergeSchema", merge).parquet(path)
 

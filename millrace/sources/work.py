@@ -56,6 +56,16 @@ class Files:
         finally:
             source.close()
 
+    def read_end(self, path: str, size: int, n: int) -> bytes:
+        """The last ``n`` bytes of a file of ``size`` bytes; nothing before them is read."""
+        fs, p = self._at(path)
+        source = fs.open(p)
+        try:
+            source.seek(max(0, size - n))
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(source, min(size, n)))
+        finally:
+            source.close()
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         source = fs.open(p)

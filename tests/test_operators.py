@@ -7,7 +7,8 @@ from millrace.operators import joins
 from millrace.operators.materialize import Registry, Spec
 from millrace.operators.versioned import Conflict, VersionedTable
 from millrace.plans.base import load
-from millrace.sources.work import shared
+from millrace.sources import files
+from millrace.sources.work import Files, shared
 
 
 def numbers(spark):
@@ -226,3 +227,18 @@ def test_statements_report_faults(spark, sf_dir):
     e.execute("INSERT INTO t VALUES (1), (2)")
     assert e.execute("SELECT count(*) AS n FROM t WHERE k IN (SELECT k FROM t AT SNAPSHOT '1')").first().n == 2
     assert e.execute("DROP TABLE t").first().ok
+
+
+def test_bloom_filters_stay_within_small_row_groups(spark, tmp_path):
+    df = spark.range(4000).selectExpr("id", "id * 7919 % 4001 AS k").coalesce(1)
+    files.write_parquet(df, f"file://{tmp_path}/p", row_group_bytes=2048, page_bytes=512, bloom=("k",))
+    one, size = next((f, size) for f, size, *_ in Files(spark).list(f"file://{tmp_path}/p") if f.endswith(".parquet"))
+    jvm = spark.sparkContext._jvm
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(one), spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    groups = list(reader.getRowGroups())
+    offsets = [g.getColumns()[1].getBloomFilterOffset() for g in groups]
+    reader.close()
+    assert all(x > 0 for x in offsets) and len(groups) > 9
+    assert size < 400_000  # a filter of 1 MB per row group made 33 MB of it
+    assert files.parquet_footer(spark, one, size).num_row_groups == len(groups)
