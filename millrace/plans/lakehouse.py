@@ -14,13 +14,12 @@ from millrace.functions import dialect
 from millrace.operators.materialize import Registry, Spec
 from millrace.operators.versioned import VersionedTable
 from millrace.plans.base import Query, load, sql_query
-from millrace.sources import avro, excel, files, lakes, roaring
+from millrace.sources import avro, derby, excel, files, lakes, roaring
 from millrace.sources.catalog import Catalog
 from millrace.sources.work import Files, shared
 from millrace.streaming import windows
 
 QUERIES: dict[str, Query] = {}
-DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
 def query(name: str, oracle: str | None):
@@ -247,17 +246,16 @@ def _excel(spark, sf_dir):
 @query("external_query", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey < 100 GROUP BY o_orderstatus")
 def _external(spark, sf_dir):
     """A statement passed through to another database, which runs it."""
-    url = f"jdbc:derby:memory:x{uuid.uuid4().hex};create=true"
-    load(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus").coalesce(1).write.option("createTableColumnTypes", "o_orderstatus VARCHAR(10)").jdbc(url, "ORDERS_THERE", properties={"driver": DERBY})
-    return files.query(spark, url, 'SELECT "o_orderstatus", CAST(count(*) AS BIGINT) AS "n" FROM ORDERS_THERE WHERE "o_custkey" < 100 GROUP BY "o_orderstatus"', driver=DERBY)
+    url = derby.database(load(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), "ORDERS_THERE", '"o_custkey" BIGINT, "o_orderstatus" VARCHAR(10)')
+    return files.query(spark, url, 'SELECT "o_orderstatus", CAST(count(*) AS BIGINT) AS "n" FROM ORDERS_THERE WHERE "o_custkey" < 100 GROUP BY "o_orderstatus"', driver=derby.DRIVER)
 
 
 @query("scan_jdbc_pushdown", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 20")
 def _jdbc(spark, sf_dir):
     """A remote table as a relation: the filter and the columns are sent to it."""
     url = f"jdbc:derby:memory:x{uuid.uuid4().hex};create=true"
-    load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").coalesce(1).write.jdbc(url, "ORDERS_THERE", properties={"driver": DERBY})
-    return spark.read.jdbc(url, "ORDERS_THERE", properties={"driver": DERBY}).where("o_custkey < 20").select("o_orderkey", "o_custkey")
+    load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").coalesce(1).write.jdbc(url, "ORDERS_THERE", properties={"driver": derby.DRIVER})
+    return spark.read.jdbc(url, "ORDERS_THERE", properties={"driver": derby.DRIVER}).where("o_custkey < 20").select("o_orderkey", "o_custkey")
 
 
 @query("scan_json_learned", "SELECT n_nationkey::BIGINT AS k, n_name AS name, CASE WHEN n_regionkey = 1 THEN 'one' ELSE n_regionkey::VARCHAR END AS mixed, n_regionkey > 2 AS flag, [n_regionkey::BIGINT] AS many FROM nation")

@@ -74,6 +74,20 @@ class Files:
         finally:
             source.close()
 
+    def gather(self, path: str, local: str) -> None:
+        """The part files of a folder, one after the other, as one file on the driver's disk."""
+        out = self.jvm.java.io.FileOutputStream(local)
+        try:
+            for name in sorted(f for f, *_ in self.list(path) if f.rsplit("/", 1)[1].startswith("part-")):
+                fs, p = self._at(name)
+                source = fs.open(p)
+                try:
+                    self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+
     def exists(self, path: str) -> bool:
         fs, p = self._at(path)
         return fs.exists(p)
