@@ -253,8 +253,7 @@ def _external(spark, sf_dir):
 @query("scan_jdbc_pushdown", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 20")
 def _jdbc(spark, sf_dir):
     """A remote table as a relation: the filter and the columns are sent to it."""
-    url = f"jdbc:derby:memory:x{uuid.uuid4().hex};create=true"
-    load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").coalesce(1).write.jdbc(url, "ORDERS_THERE", properties={"driver": derby.DRIVER})
+    url = derby.database(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "ORDERS_THERE", '"o_orderkey" BIGINT, "o_custkey" BIGINT, "o_totalprice" DOUBLE')
     return spark.read.jdbc(url, "ORDERS_THERE", properties={"driver": derby.DRIVER}).where("o_custkey < 20").select("o_orderkey", "o_custkey")
 
 

@@ -18,10 +18,11 @@ spark.sparkContext.setLogLevel("OFF")
 from millrace import plans
 from millrace.sources import derby, files
 from tests.compare import connection, of_duckdb, of_spark
-for name in ("external_query",):
+for name in ("external_query", "scan_jdbc_pushdown"):
     df = plans.queries()[name](spark, sys.argv[2])
     want = of_duckdb(connection(sys.argv[2]), plans.oracle_sql()[name])
     assert want[1] and of_spark(df) == want and of_spark(df) == want, name  # read twice, by either executor
+assert "PushedFilters: [*IsNotNull(o_custkey), *LessThan(o_custkey,20)], ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in df._jdf.queryExecution().executedPlan().toString()
 odd = [(1, "a,b"), (2, None), (3, ""), (4, 'say "so"'), (5, "two\\nlines"), (6, " spaced "), (7, "back\\\\slash"), (None, "\\u00e9\\u20ac")]
 url = derby.database(spark.createDataFrame(odd, "k int, v string"), "ODD", '"k" INTEGER, "v" VARCHAR(20)')
 got = [tuple(r) for r in files.query(spark, url, 'SELECT "k", "v" FROM ODD', driver=derby.DRIVER).collect()]
